@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from phasefold.operators.latest import latest_rows
 
+from .leaks import leaked_spans
+from .residue import find_residue
 from .splits import assign_splits, tie_records
 from .topn import top_n
 
@@ -36,7 +38,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(other, keys[:2], "distance", keys[2:], limits, "testRuns", "n").select(*keys)
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found}
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaked span with its length and coverage."""
+    return leaked_spans(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/heldout_items.parquet"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_residue(spark.read.parquet(f"{d}/documents.parquet")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 
 ORACLE = {
     "p2_found": r"""
