@@ -10,7 +10,9 @@ from phasefold.operators.latest import latest_rows
 from .leaks import leaked_spans
 from .residue import find_residue
 from .splits import assign_splits, tie_records
+from .tokens import encode
 from .topn import top_n
+from .vectors import mutual, similar
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -51,7 +53,34 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(spark.read.parquet(f"{d}/documents.parquet")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+BLOCK_COLUMNS = [f"{c}_t{lag}" for c in "xyz" for lag in ("", "-1", "-2")]
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every complete vector, by collection."""
+    block = similar(spark.read.parquet(f"{d}/block_3sp.parquet"), "state_id", F.array(*[F.col(f"`{c}`") for c in BLOCK_COLUMNS]), 9)
+    train = similar(spark.read.parquet(f"{d}/train_states.parquet"), "state_id", F.col("trainStates"), 24)
+    return block.withColumn("collection", F.lit("block_3sp")).unionByName(train.withColumn("collection", F.lit("train_states")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    block = similar(spark.read.parquet(f"{d}/block_3sp.parquet"), "state_id", F.array(*[F.col(f"`{c}`") for c in BLOCK_COLUMNS]), 9)
+    train = similar(spark.read.parquet(f"{d}/train_states.parquet"), "state_id", F.col("trainStates"), 24)
+    found = [mutual(block, 0.02).withColumn("collection", F.lit("block_3sp")), mutual(train, 0.6).withColumn("collection", F.lit("train_states"))]
+    return found[0].unionByName(found[1]).select("collection", "first_id", "second_id")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(spark.read.parquet(f"{d}/documents.parquet"), _tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 
 ORACLE = {
     "p2_found": r"""
