@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLOTS = 1 << 16
+WORD_SLOTS = 1 << 17
+MEMO_WORDS = 60_000  # words of several tokens that are kept with their ids
+MEMO_DOCS = 10_000  # documents whose words compete for the memo
 NONE = 1 << 30  # rank of a pair that doesn't merge
 LONG = 160  # bytes
 STRETCH = 512  # words among which distinct words are told
@@ -68,7 +71,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def two_choice(entries: list[tuple[int, int, object]], slots: int = SLOTS) -> tuple[list, list]:
+def two_choice(entries: list[tuple[int, int, object]], slots: int) -> tuple[list, list]:
     """Two tables in which each (first slot, second slot, item) lies at one of its slots."""
     tables: tuple[list, list] = ([None] * slots, [None] * slots)
     for e in entries:
@@ -90,24 +93,24 @@ def pair_slots(a: int, b: int) -> tuple[int, int]:
 
 def word_slots(word: bytes) -> tuple[int, int]:
     h = xxhash.xxh64_intdigest(word, seed=42)
-    return h % SLOTS, (h >> 24) % SLOTS
+    return h % WORD_SLOTS, (h >> 24) % WORD_SLOTS
 
 
 def _ints(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _tables(v: Vocabulary) -> Column:
+def _tables(v: Vocabulary, memo: dict[str, list[int]] | None = None) -> Column:
     """One literal struct: byte ids, pair tables (key << 17 | merged id), word tables and their ids."""
-    pair = two_choice([(*pair_slots(a, b), ((a << _PAIR_SHIFT | b) << _PAIR_SHIFT) | m) for (a, b), (_, m) in v.pairs.items()])
-    words = []
+    pair = two_choice([(*pair_slots(a, b), ((a << _PAIR_SHIFT | b) << _PAIR_SHIFT) | m) for (a, b), (_, m) in v.pairs.items()], SLOTS)
+    words = [(*word_slots(w.encode()), (w, i)) for w, i in (memo or {}).items()]
     for b, i in v.ids.items():
         try:
             b.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        words.append((*word_slots(b), (b.decode("utf-8"), i)))
-    w = two_choice(words)
+        words.append((*word_slots(b), (b.decode("utf-8"), [i])))
+    w = two_choice(words, WORD_SLOTS)
     text = lambda t: F.from_json(F.lit(json.dumps([e[2][0] if e else None for e in t], ensure_ascii=True)), "array<string>")
     return F.struct(
         _ints(v.byte_id, "int").alias("bytes"),
@@ -115,8 +118,8 @@ def _tables(v: Vocabulary) -> Column:
         _ints([e[2] if e else -1 for e in pair[1]], "bigint").alias("p1"),
         text(w[0]).alias("w0"),
         text(w[1]).alias("w1"),
-        _ints([e[2][1] if e else -1 for e in w[0]], "int").alias("i0"),
-        _ints([e[2][1] if e else -1 for e in w[1]], "int").alias("i1"),
+        F.from_json(F.lit(json.dumps([e[2][1] if e else None for e in w[0]])), "array<array<int>>").alias("i0"),
+        F.from_json(F.lit(json.dumps([e[2][1] if e else None for e in w[1]])), "array<array<int>>").alias("i1"),
     )
 
 
@@ -136,11 +139,11 @@ def _rank(t: Column, a: Column, b: Column) -> Column:
 
 
 def _whole(t: Column, word: Column) -> Column:
-    """Id of a word that is a token, else null."""
+    """Ids of a word that is a token or in the memo, else null."""
 
     def at(h: Column) -> Column:
-        s0 = h.bitwiseAND(SLOTS - 1).cast("int")
-        s1 = F.shiftright(h, 24).bitwiseAND(SLOTS - 1).cast("int")
+        s0 = h.bitwiseAND(WORD_SLOTS - 1).cast("int")
+        s1 = F.shiftright(h, 24).bitwiseAND(WORD_SLOTS - 1).cast("int")
         return F.when(F.get(t["w0"], s0) == word, F.get(t["i0"], s0)).when(F.get(t["w1"], s1) == word, F.get(t["i1"], s1))
 
     return _let(F.xxhash64(word), at)
@@ -174,9 +177,25 @@ def _merged(t: Column, word: Column) -> Column:
     return _let(first, fold)
 
 
-def encode_column(text: Column, path: str) -> Column:
+def memo_words(texts: DataFrame, path: str) -> dict[str, list[int]]:
+    """Ids of the most frequent words of several tokens in a sample of about MEMO_DOCS texts.
+
+    The memo only spares folding them again and again: any other word is folded
+    where it occurs. Its bound, MEMO_WORDS, doesn't depend on the corpus.
+    """
+    v, total = vocabulary(path), texts.count()
+    share = min(1_000_000, -(-1_000_000 * MEMO_DOCS // max(1, total)))
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    words = drawn.select(F.explode(F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0))).alias("word"))
+    often = words.groupBy("word").count().where((F.col("count") > 1) & (F.length("word") < LONG // 4)).orderBy(F.desc("count"), "word").limit(MEMO_WORDS + len(v.ids))
+    rare = often.where(~_let(_tables(v), lambda t: _whole(t, F.col("word")).isNotNull())).limit(MEMO_WORDS)
+    rows = rare.select("word", _let(_tables(v), lambda t: _merged(t, F.col("word"))).alias("ids")).toArrow().to_pylist()
+    return {r["word"]: r["ids"] for r in rows}
+
+
+def encode_column(text: Column, path: str, memo: dict[str, list[int]] | None = None) -> Column:
     """Token ids of a text without over-long words; an empty array for null and empty texts."""
-    tables = _tables(vocabulary(path))
+    tables = _tables(vocabulary(path), memo)
     words = F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
 
     def stretch(t: Column, w: Column) -> Column:
@@ -186,7 +205,7 @@ def encode_column(text: Column, path: str) -> Column:
             F.struct(whole.alias("i"), rare.alias("r")),
             lambda s: _let(
                 F.transform(s["r"], lambda x: _merged(t, x)),
-                lambda m: F.flatten(F.zip_with(w, s["i"], lambda x, i: F.when(i.isNotNull(), F.array(i)).otherwise(F.get(m, F.array_position(s["r"], x).cast("int") - 1)))),
+                lambda m: F.flatten(F.zip_with(w, s["i"], lambda x, i: F.when(i.isNotNull(), i).otherwise(F.get(m, F.array_position(s["r"], x).cast("int") - 1)))),
             ),
         )
 
@@ -253,7 +272,8 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode_text(t, v) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    usual = slim.where(~over).select("doc_id", encode_column(F.col("text"), path).alias("ids"))
+    memo = memo_words(slim.where(~over).select("text"), path)
+    usual = slim.where(~over).select("doc_id", encode_column(F.col("text"), path, memo).alias("ids"))
     return usual.unionByName(slim.where(over).mapInArrow(run, f"doc_id {kind}, ids array<int>"))
 
 
