@@ -1,0 +1,50 @@
+"""A grid of settings over one set of series.
+
+The axes of a sweep (dimension, horizon, draw, candidate, view, fold ...) are the
+parallel axis: each grid row is one task's unit of work, and the series, whose
+size is counted first, travel as a broadcast of plain arrays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phasefold.functions.scoring import finite
+from phasefold.operators.latest import q
+
+MOST_CELLS = 50_000_000  # numbers of a series that may be broadcast (400 MB)
+
+
+def to_runs(series: DataFrame, columns: list[str]) -> list[np.ndarray]:
+    """Runs as arrays [rows, columns] in order of run and position; not finite values are NaN."""
+    n = series.count()
+    if n * len(columns) > MOST_CELLS:
+        raise ValueError(f"{n} rows x {len(columns)} columns are too many for a grid of all-pairs kernels; use neighbors() in blocks")
+    pdf = series.select("run_id", "pos", *[finite(F.col(q(c)).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).toPandas()
+    pdf = pdf.sort_values(["run_id", "pos"], kind="stable")
+    return [g[[f"c{i}" for i in range(len(columns))]].to_numpy(dtype=float) for _, g in pdf.groupby("run_id", sort=True)]
+
+
+def run_ids(series: DataFrame) -> list:
+    return [r[0] for r in series.select("run_id").distinct().orderBy("run_id").collect()]
+
+
+def over_grid(spark: SparkSession, grid: pd.DataFrame, shared: dict, work: Callable[[dict, dict], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``work(shared, grid row)`` returns for every row of ``grid``."""
+    box = spark.sparkContext.broadcast(shared)
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.to_dict("records"):
+                yield pd.DataFrame(work(box.value, row), columns=names)
+
+    parts = max(1, min(len(grid), 4 * spark.sparkContext.defaultParallelism))
+    made = spark.createDataFrame(grid).repartition(parts).mapInPandas(run, schema)
+    doubles = {n for n, t in made.dtypes if t == "double"}
+    return made.select(*[finite(F.col(n)).alias(n) if n in doubles else F.col(n) for n in names])
