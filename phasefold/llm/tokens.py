@@ -3,7 +3,7 @@
 A text is cut into words by the tokenizer's pattern. A word that is a token
 itself is looked up; any other distinct word of a stretch of text becomes the
 array of its bytes' ids, over which a fold applies the lowest-ranked merge until
-none is left. The ranks sit in literal hash tables (two-choice hashing over flat
+none is left. The ranks sit in a constant rank map (two-choice hashing over flat
 arrays), so a lookup is one or two array reads, nothing is shuffled or broadcast
 by data size, and a text costs the same wherever it lies. Decoding joins the
 tokens' byte strings.
@@ -22,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,31 +96,24 @@ def word_slots(word: bytes) -> tuple[int, int]:
     return h % WORD_SLOTS, (h >> 24) % WORD_SLOTS
 
 
-def _ints(values: list[int], kind: str) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 def _tables(v: Vocabulary, memo: dict[str, list[int]] | None = None) -> Column:
-    """One literal struct: byte ids, pair tables (key << 17 | merged id), word tables and their ids."""
+    """The tables as one value: byte ids, pair tables (key << 17 | merged id), word tables and their ids.
+
+    The value is a scalar subquery over one row, so plans name it without
+    printing it, and it reaches the tasks as one block of bytes.
+    """
     pair = two_choice([(*pair_slots(a, b), ((a << _PAIR_SHIFT | b) << _PAIR_SHIFT) | m) for (a, b), (_, m) in v.pairs.items()], SLOTS)
     words = [(*word_slots(w.encode()), (w, i)) for w, i in (memo or {}).items()]
     for b, i in v.ids.items():
         try:
-            b.decode("utf-8")
+            words.append((*word_slots(b), (b.decode("utf-8"), [i])))
         except UnicodeDecodeError:
             continue
-        words.append((*word_slots(b), (b.decode("utf-8"), [i])))
     w = two_choice(words, WORD_SLOTS)
-    text = lambda t: F.from_json(F.lit(json.dumps([e[2][0] if e else None for e in t], ensure_ascii=True)), "array<string>")
-    return F.struct(
-        _ints(v.byte_id, "int").alias("bytes"),
-        _ints([e[2] if e else -1 for e in pair[0]], "bigint").alias("p0"),
-        _ints([e[2] if e else -1 for e in pair[1]], "bigint").alias("p1"),
-        text(w[0]).alias("w0"),
-        text(w[1]).alias("w1"),
-        F.from_json(F.lit(json.dumps([e[2][1] if e else None for e in w[0]])), "array<array<int>>").alias("i0"),
-        F.from_json(F.lit(json.dumps([e[2][1] if e else None for e in w[1]])), "array<array<int>>").alias("i1"),
-    )
+    part = lambda t, j: [e[2][j] if e else None for e in t]
+    row = (v.byte_id, *[[e[2] if e else -1 for e in t] for t in pair], part(w[0], 0), part(w[1], 0), part(w[0], 1), part(w[1], 1))
+    kind = "t struct<bytes:array<int>,p0:array<bigint>,p1:array<bigint>,w0:array<string>,w1:array<string>,i0:array<array<int>>,i1:array<array<int>>>"
+    return SparkSession.active().createDataFrame([(row,)], kind, verifySchema=False).coalesce(1).scalar()
 
 
 def _let(value: Column, body) -> Column:
@@ -188,14 +181,17 @@ def memo_words(texts: DataFrame, path: str) -> dict[str, list[int]]:
     drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
     words = drawn.select(F.explode(F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0))).alias("word"))
     often = words.groupBy("word").count().where((F.col("count") > 1) & (F.length("word") < LONG // 4)).orderBy(F.desc("count"), "word").limit(MEMO_WORDS + len(v.ids))
-    rare = often.where(~_let(_tables(v), lambda t: _whole(t, F.col("word")).isNotNull())).limit(MEMO_WORDS)
-    rows = rare.select("word", _let(_tables(v), lambda t: _merged(t, F.col("word"))).alias("ids")).toArrow().to_pylist()
+    rare = [w for w in often.select("word").toArrow()["word"].to_pylist() if w.encode() not in v.ids][:MEMO_WORDS]
+    if not rare:
+        return {}
+    table = texts.sparkSession.createDataFrame(pa.table({"word": rare})).repartition(min(64, 1 + len(rare) // 2000))
+    table = table.select("word", _tables(v).alias("__t"))
+    rows = table.select("word", _let(F.col("__t"), lambda t: _merged(t, F.col("word"))).alias("ids")).toArrow().to_pylist()
     return {r["word"]: r["ids"] for r in rows}
 
 
-def encode_column(text: Column, path: str, memo: dict[str, list[int]] | None = None) -> Column:
+def encode_column(text: Column, tables: Column) -> Column:
     """Token ids of a text without over-long words; an empty array for null and empty texts."""
-    tables = _tables(vocabulary(path), memo)
     words = F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
 
     def stretch(t: Column, w: Column) -> Column:
@@ -273,13 +269,15 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode_text(t, v) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     memo = memo_words(slim.where(~over).select("text"), path)
-    usual = slim.where(~over).select("doc_id", encode_column(F.col("text"), path, memo).alias("ids"))
+    usual = slim.where(~over).select("doc_id", "text", _tables(vocabulary(path), memo).alias("__t")).select("doc_id", encode_column(F.col("text"), F.col("__t")).alias("ids"))
     return usual.unionByName(slim.where(over).mapInArrow(run, f"doc_id {kind}, ids array<int>"))
 
 
-def decode_column(ids: Column, path: str) -> Column:
-    """Text of token ids: their byte strings joined; null for a null array or an unknown id's loss."""
+def decode(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(doc_id, text): the tokens' byte strings joined; an empty text for a null array, unknown ids give nothing."""
     v = vocabulary(path)
-    pieces = F.from_json(F.lit(json.dumps([v.pieces.get(i, b"").decode("latin-1") for i in range(max(v.pieces) + 1)], ensure_ascii=True)), "array<string>")
-    joined = _let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))
-    return F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8")
+    row = ([v.pieces.get(i, b"").decode("latin-1") for i in range(max(v.pieces) + 1)],)
+    pieces = df.sparkSession.createDataFrame([row], "p array<string>", verifySchema=False).coalesce(1).scalar()
+    slim = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"), pieces.alias("__p"))
+    joined = _let(F.col("__p"), lambda p: F.array_join(F.transform("ids", lambda i: F.get(p, i)), ""))
+    return slim.select("doc_id", F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8").alias("text"))
