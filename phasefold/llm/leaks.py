@@ -44,7 +44,7 @@ def words(text: str) -> list[str]:
 def texts(raw: str | None) -> Iterator[str]:
     """The decoded parts of a mail's body."""
     for p in parts(raw):
-        yield strip_markup(p.text) if p.kind == "html" else p.text
+        yield strip_markup(p.text) if p.kind == "html" or "</" in p.text else p.text
 
 
 class Automaton:
