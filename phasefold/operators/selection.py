@@ -77,8 +77,8 @@ def select_variables(train: DataFrame, candidates: list[str], target: str, test:
     names = [*dict.fromkeys([*candidates, *([target] if include_target else [])])]
     runs = to_runs(train, [*names, target])
     spreads = np.nanstd(np.concatenate(runs)[:, : len(names)], axis=0)
-    pool = [c for c in candidates if spreads[names.index(c)] >= spread and c != target]
     chosen = [target] if include_target else []
+    pool = [c for c in candidates if spreads[names.index(c)] >= spread and c not in chosen]
     slopes: dict[str, float] = {}
 
     def check(cs: list[str]) -> None:
