@@ -70,8 +70,8 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    block = similar(spark.read.parquet(f"{d}/block_3sp.parquet"), "state_id", F.array(*[F.col(f"`{c}`") for c in BLOCK_COLUMNS]), 9)
-    train = similar(spark.read.parquet(f"{d}/train_states.parquet"), "state_id", F.col("trainStates"), 24)
+    block = similar(spark.read.parquet(f"{d}/block_3sp.parquet"), "state_id", F.array(*[F.col(f"`{c}`") for c in BLOCK_COLUMNS]), 9, within=0.02)
+    train = similar(spark.read.parquet(f"{d}/train_states.parquet"), "state_id", F.col("trainStates"), 24, within=0.6)
     found = [mutual(block, 0.02).withColumn("collection", F.lit("block_3sp")), mutual(train, 0.6).withColumn("collection", F.lit("train_states"))]
     return found[0].unionByName(found[1]).select("collection", "first_id", "second_id")
 

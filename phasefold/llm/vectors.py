@@ -7,7 +7,9 @@ each is replaced by one of 16 codewords (four bits). Codewords are chosen by the
 score-aware loss, which weighs the residual error parallel to the vector more
 than the error across it, since only the former moves large inner products. A
 query scans the codes of its nearest cells by table lookups and reranks the best
-exactly.
+exactly. What that finds bounds the distance of the true neighbours: in a second
+step every cell that the bound doesn't exclude is compared exactly, so the result
+is that of brute force.
 
 Codebooks are fitted on a bounded sample (``FIT_ROWS``); every vector is indexed
 and every vector is a query. Cells are scanned in blocks of at most ``BLOCK``
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasefold.session import materialize
+from phasefold.session import materialize, width
 
 from .skew import join_unique
 
 FIT_ROWS = 40_000
 BLOCK = 4_000
 SCAN = 256  # queries scanned at once
+GROUP = 40_000  # most queries, on average, that a task of the exact step holds
 
 
 def nearest_centres(x: np.ndarray, c: np.ndarray, n: int = 1) -> np.ndarray:
@@ -129,14 +132,70 @@ def scan(book: Codebook, cell: int, codes: np.ndarray, x: np.ndarray, q: np.ndar
     return at, (d * d).sum(2)
 
 
-def similar(df: DataFrame, row_id: str, vector: Column, dims: int, k: int = 5, probes: int = 10, rerank: int = 32, per_cell: int = 400, most_cells: int = 8192) -> DataFrame:
+class Nearest:
+    """The k nearest of every query among the cells shown to it, exactly.
+
+    ``near`` holds each query's nearest cells, nearest first, and ``limit`` a distance
+    beyond which nothing is wanted. Ties go by the smaller id.
+    """
+
+    def __init__(self, q: np.ndarray, ids: np.ndarray, near: np.ndarray, limit: np.ndarray, centres: np.ndarray, k: int):
+        self.q, self.ids, self.near, self.limit, self.centres, self.k = q, ids, near, limit.copy(), centres, k
+        self.to_near = ((q[:, None] - centres[near]) ** 2).sum(2)
+        self.norm = (q * q).sum(1)
+        self.d = np.full((len(q), k), np.inf)
+        self.other = np.zeros((len(q), k), dtype=np.int64)
+
+    def wanting(self, cell: int) -> np.ndarray:
+        """Queries for which the cell may hold something within their limit.
+
+        A vector of the cell lies on the cell's side of the plane midway to any other
+        centre, and the query's distance from that plane bounds its distance.
+        """
+        c = self.centres[cell]
+        apart = np.sqrt(((self.centres - c) ** 2).sum(1))
+        to_c = ((self.q - c) ** 2).sum(1)
+        keep = np.ones(len(self.q), dtype=bool)
+        for m in range(self.near.shape[1]):
+            gap = apart[self.near[:, m]]
+            keep &= to_c - self.to_near[:, m] <= 2 * gap * self.limit + 1e-9 * (to_c + self.norm)
+        return np.flatnonzero(keep)
+
+    def look(self, cell: int, ids: np.ndarray, x: np.ndarray) -> None:
+        want = self.wanting(cell)
+        norm = (x * x).sum(1)
+        for a in range(0, len(want), 2048):
+            w = want[a : a + 2048]
+            size = self.norm[w, None] + norm
+            i, j = np.nonzero(size - 2 * (self.q[w] @ x.T) <= self.limit[w, None] ** 2 + 1e-9 * size)
+            if len(i):
+                self._keep(w[i], ids[j], np.sqrt(((x[j] - self.q[w[i]]) ** 2).sum(1)))
+
+    def _keep(self, who: np.ndarray, other: np.ndarray, d: np.ndarray) -> None:
+        ok = (other != self.ids[who]) & (d <= self.limit[who])
+        who, other, d = who[ok], other[ok], d[ok]
+        hit = np.unique(who)
+        who = np.concatenate([who, np.repeat(hit, self.k)])
+        other, d = np.concatenate([other, self.other[hit].ravel()]), np.concatenate([d, self.d[hit].ravel()])
+        order = np.lexsort((other, d, who))
+        who, other, d = who[order], other[order], d[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        top = rank < self.k
+        self.d[who[top], rank[top]], self.other[who[top], rank[top]] = d[top], other[top]
+        self.limit[hit] = np.minimum(self.limit[hit], self.d[hit, self.k - 1])
+
+
+def similar(df: DataFrame, row_id: str, vector: Column, dims: int, k: int = 5, probes: int = 10, rerank: int = 32, per_cell: int = 400, most_cells: int = 8192, within: float = float("inf")) -> DataFrame:
     """(id, other, rank, distance): the k nearest other rows of every row, ties by the smaller id.
 
     ``vector`` is an ARRAY<DOUBLE>; rows with a null id, a null array, another
     length than ``dims`` or a null, NaN or infinite element are incomplete and
     take no part. Of rows with one id the one with the smallest vector holds.
-    Fewer than k other rows are returned whole. Empty in, empty out. Recall is
-    below 1: a neighbour outside the ``probes`` nearest cells is missed.
+    Fewer than k other rows are returned whole. Empty in, empty out. Neighbours
+    farther than ``within`` are left out, and the search spares what they would
+    cost. ``probes`` and ``rerank`` change the cost only, never the result: where
+    distances exclude few cells (many dimensions, no ``within``), each vector is
+    compared with nearly all others.
     """
     spark = df.sparkSession
     whole = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
@@ -207,7 +266,45 @@ def similar(df: DataFrame, row_id: str, vector: Column, dims: int, k: int = 5, p
 
     found = both.mapInArrow(search, "rep long, near_rep long, distance double")
     best = found.groupBy("rep").agg(F.collect_list(F.struct("distance", F.col("near_rep").alias("rep"))).alias("all"))  # k of each block looked at
-    best = best.select("rep", F.slice(F.array_sort("all"), 1, k).alias("near"))
+    first = best.select("rep", F.slice(F.array_sort("all"), 1, k).alias("found"))
+    bound = F.when(F.size("found") >= k, F.least(F.element_at("found", k)["distance"], F.lit(within))).otherwise(F.lit(within))
+    groups = max(width(spark), -(-total // GROUP))
+    queries = placed.join(first, "rep", "left").select(F.pmod(F.xxhash64("rep"), F.lit(groups)).alias("g"), F.lit(0).alias("role"), "cell", "rep", "v", "near", bound.alias("limit"))
+    shown = placed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(1).alias("role"), "cell", "rep", "v", F.lit(None).cast("array<long>").alias("near"), F.lit(None).cast("double").alias("limit"))
+    task = queries.unionByName(shown).repartition(groups, "g").sortWithinPartitions("g", "role", "cell", "rep")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bk = shared.value
+        g_now, held, known = None, [], None
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            if known is not None:
+                ok = np.isfinite(known.d).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(known.ids, k)[ok]), pa.array(known.other.ravel()[ok]), pa.array(known.d.ravel()[ok])], ["rep", "near_rep", "distance"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, role, cell, rep = (b.column(c).to_numpy() for c in ("g", "role", "cell", "rep"))
+            v = matrix(b)
+            cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(role) != 0) | ((np.diff(cell) != 0) & (role[1:] == 1))) + 1
+            for a, z in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                if g[a] != g_now:
+                    yield from answers()
+                    g_now, held, known = g[a], [], None
+                if role[a] == 0:
+                    near = b.column("near").slice(a, z - a).flatten().to_numpy(zero_copy_only=False).reshape(z - a, -1)
+                    held.append((v[a:z], rep[a:z], near, b.column("limit").slice(a, z - a).to_numpy(zero_copy_only=False)))
+                    continue
+                if known is None and held:
+                    known = Nearest(*map(np.concatenate, zip(*held, strict=True)), bk.centres, k)
+                    held = []
+                if known is not None:
+                    known.look(int(cell[a]), rep[a:z], v[a:z])
+        yield from answers()
+
+    exact = task.mapInArrow(settle, "rep long, near_rep long, distance double")
+    best = exact.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("distance", F.col("near_rep").alias("rep")))).alias("near"))
     if reps.where("n > 1").isEmpty():
         out = best.select(F.col("rep").alias("id"), F.posexplode("near").alias("p", "s"))
         return out.select("id", F.col("s.rep").alias("other"), (F.col("p") + 1).alias("rank"), F.col("s.distance").alias("distance"))

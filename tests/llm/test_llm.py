@@ -112,6 +112,17 @@ def test_similar_against_brute_force(spark):
     assert vectors.similar(df.where("false"), "i", F.col("v"), 6).count() == 0
 
 
+def test_similar_misses_nothing_outside_the_probed_cells(spark):
+    x = np.random.default_rng(9).normal(size=(1500, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :5]
+    for within in (float("inf"), 2.2):
+        got = vectors.similar(df, "i", F.col("v"), 12, probes=2, rerank=8, per_cell=30, within=within).select("id", "rank", "other").collect()
+        assert {tuple(r) for r in got} == {(i, n + 1, int(j)) for i, row in enumerate(order) for n, j in enumerate(row) if d[i, j] <= within}
+
+
 def test_score_aware_codes_prefer_small_parallel_error():
     x = np.random.default_rng(5).normal(size=(2000, 8))
     err = {}
