@@ -5,7 +5,7 @@ message by hashed word n-grams, lengths and features of the title. It learns fro
 weak labels: a title with an unfilled field, a short message that opens with a
 response status or a stock phrase, a salutation with an unfilled field. It is
 fitted on a bounded sample of documents and validated on hosts (sender domains)
-that it has not seen. A document is found if its own message consists of such
+that it has not seen; the disclaimers are counted over all documents. A document is found if its own message consists of such
 sentences, or if one of its sentences was sent with a field left unfilled.
 """
 
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phasefold.session import materialize
+
 from .mail import parts, strip_markup, subject
 
 BITS = 17
@@ -239,6 +241,15 @@ def fit(rows: list[tuple[list[int], int]], epochs: int = 4, rate: float = 0.3, l
     return w
 
 
+def shared_floor(n_docs: int) -> int:
+    """Copies that make a sentence shared."""
+    return max(8, n_docs // 1500)
+
+
+def is_shared(s: str, n: int, last: int, others: int, floor: int) -> bool:
+    return n >= floor and last > 0.7 * n and others > 2.5 * n and not FIELD.search(s) and not PHRASE.search(s)
+
+
 def shared_sentences(docs: list[Doc]) -> frozenset[str]:
     """Disclaimers and the like: what many mails end with, word for word, after other sentences."""
     count, last, others = Counter(), Counter(), Counter()
@@ -247,13 +258,35 @@ def shared_sentences(docs: list[Doc]) -> frozenset[str]:
             count[s] += 1
             last[s] += i >= len(d.parts) - 3
             others[s] += len(d.parts) - 1
-    floor = max(8, len(docs) // 1500)
-    return frozenset(s for s, n in count.items() if n >= floor and last[s] > 0.7 * n and others[s] > 2.5 * n and not FIELD.search(s) and not PHRASE.search(s))
+    floor = shared_floor(len(docs))
+    return frozenset(s for s, n in count.items() if is_shared(s, n, last[s], others[s], floor))
+
+
+def _whole(s: str) -> str:
+    """A text that Arrow takes: some charsets decode to lone surrogates."""
+    return s if s.isascii() else s.encode("utf-8", "replace").decode()
+
 
+def corpus_shared(apart: DataFrame, n_docs: int) -> frozenset[str]:
+    """``shared_sentences`` of all documents, counted in Spark.
 
-def train(docs: list[Doc]) -> Model:
-    """Fit on the hosts of four fifths, measure on the rest, then fit on all."""
-    common = shared_sentences(docs)
+    Hashes are counted first, then the sentences behind the few that pass. A
+    document has three last places and a shared sentence takes more than 0.7 *
+    floor of them, so there are fewer than 3 * n_docs / (0.7 * floor), at most
+    about 6,500 whatever the input.
+    """
+    floor = shared_floor(n_docs)
+    each = apart.select(F.size("p").alias("size"), F.posexplode("p").alias("at", "s")).select(F.xxhash64("s").alias("h"), "s", (F.col("at") >= F.col("size") - 3).cast("long").alias("last"), (F.col("size") - 1).alias("others"))
+    sums = [F.count("*").alias("n"), F.sum("last").alias("last"), F.sum("others").alias("others")]
+    passed = (F.col("n") >= floor) & (F.col("last") > 0.7 * F.col("n")) & (F.col("others") > 2.5 * F.col("n"))
+    few = each.groupBy("h").agg(*sums).where(passed).select("h")
+    rows = each.join(F.broadcast(few), "h").groupBy("s").agg(*sums).where(passed).collect()
+    return frozenset(r["s"] for r in rows if is_shared(r["s"], r["n"], r["last"], r["others"], floor))
+
+
+def train(docs: list[Doc], common: frozenset[str] | None = None) -> Model:
+    """Fit on the hosts of four fifths, measure on the rest, then fit on all. ``common``: the shared sentences, else those of ``docs``."""
+    common = shared_sentences(docs) if common is None else common
     rows, held = [], []
     for d in docs:
         own = [s for s in d.parts if s not in common]
@@ -284,20 +317,13 @@ def judge(d: Doc | None, m: Model, memo: Memo, share: float = 0.5) -> bool:
     return bad > share * chars
 
 
-def fit_sample(df: DataFrame, doc_id: str, text: str, sample: int = 12_000) -> Model:
+def fit_sample(apart: DataFrame, sample: int = 12_000) -> Model:
     """A model from about ``sample`` documents, drawn by a hash of the id (the bound of what reaches the driver)."""
-    total = df.count()
+    total = apart.count()
     part = min(1_000_000, math.ceil(1e6 * sample / max(1, total)))
-    drawn = df.where(F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < part).select(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs = [d for d in map(take_apart, b.column(0).to_pylist()) if d]
-            yield pa.RecordBatch.from_arrays([pa.array([d.title_field for d in docs], pa.bool_()), pa.array([d.parts for d in docs], pa.list_(pa.string())), pa.array([d.host for d in docs], pa.string())], ["t", "p", "h"])
-
-    rows = drawn.mapInArrow(run, "t boolean, p array<string>, h string").toArrow().to_pylist()
+    rows = apart.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part).select("t", "p", "h").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["h"], r["p"]))  # the order of arrival must not matter
-    return train([Doc(r["t"], r["p"], r["h"]) for r in rows])
+    return train([Doc(r["t"], r["p"], r["h"]) for r in rows], corpus_shared(apart, total))
 
 
 def find_residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 12_000) -> DataFrame:
@@ -308,14 +334,24 @@ def find_residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", samp
     result. Other columns of ``df`` are not read.
     """
     slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    model = slim.sparkSession.sparkContext.broadcast(fit_sample(slim, "doc_id", "text", sample))  # SIZE weights, whatever the input
     kind = dict(slim.dtypes)["doc_id"]
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = list(map(take_apart, b.column("text").to_pylist()))
+            ids = b.column("doc_id").filter(pa.array([d is not None for d in docs], pa.bool_()))
+            docs = [d for d in docs if d]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([d.title_field for d in docs], pa.bool_()), pa.array([list(map(_whole, d.parts)) for d in docs], pa.list_(pa.string())), pa.array([d.host for d in docs], pa.string())], ["doc_id", "t", "p", "h"])
+
+    # taken apart once, for the counts, the sample and the verdict
+    apart = materialize(slim.where("text IS NOT NULL AND trim(text) <> ''").mapInArrow(split, f"doc_id {kind}, t boolean, p array<string>, h string"))
+    model = slim.sparkSession.sparkContext.broadcast(fit_sample(apart, sample))  # SIZE weights, whatever the input
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         memo = Memo(m.weights)
         for b in batches:
-            hit = [judge(take_apart(t), m, memo) for t in b.column("text").to_pylist()]
+            hit = [judge(Doc(t, p, ""), m, memo) for t, p in zip(b.column("t").to_pylist(), b.column("p").to_pylist(), strict=True)]
             yield b.select(["doc_id"]).filter(pa.array(hit, pa.bool_()))
 
-    return slim.where("text IS NOT NULL AND trim(text) <> ''").mapInArrow(run, f"doc_id {kind}")
+    return apart.select("doc_id", "t", "p").mapInArrow(run, f"doc_id {kind}")

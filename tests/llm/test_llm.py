@@ -255,6 +255,23 @@ def test_residue(spark):
     assert model.accuracy > 0.95
 
 
+def test_shared_sentences_are_counted_over_all_documents(spark):
+    docs, bad = corpus()
+    note = " This message is meant for the addressee only and binds nobody."
+    tail = "\n\n" + "\n\n".join(f"{note.strip()[:-1]}, {x}." for x in ("says the house", "says the office", "says the station"))
+    docs = [(i, t + tail if i % 25 in (1, 7, 9) else t) for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    real = residue.train
+    residue.train = lambda d, common=None: seen.append((len(d), common)) or real(d, common)
+    try:
+        residue.find_residue(df, sample=60)
+    finally:
+        residue.train = real
+    (n, common), whole = seen[0], residue.shared_sentences([d for d in (residue.take_apart(t) for _, t in docs) if d])
+    assert n < 150 and common == whole and len([s for s in whole if s.startswith(note.strip()[:-1])]) == 3
+
+
 def test_own_message():
     raw = "Subject: x\n\nMine first.\n\nOn Tue, 1 May 2001, A B wrote:\n\n> theirs\n>\n> more\n\nMine again.\n\n-- \nName\nTel. 1\n"
     assert residue.own_message(raw).split("\n")[0] == "Mine first." and "theirs" not in residue.own_message(raw) and "Mine again." in residue.own_message(raw) and "Tel" not in residue.own_message(raw)
