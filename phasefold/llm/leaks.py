@@ -5,8 +5,9 @@ automaton. A document's words are streamed through it; at each word the automato
 knows the longest run of words ending there that any passage holds. Where runs
 are long enough, their places in the passages are read off the automaton and
 chained into spans that may skip a few words on either side, so misspelled,
-swapped or added words don't end a span. A span counts if it reaches the least
-length and most of its words are covered by exact runs.
+swapped or added words don't end a span. Between and beside the runs single words
+are aligned as well. A span counts if it reaches the least length and most of its
+words are aligned.
 
 The automaton is built in the driver and broadcast. Its size follows the held-out
 material only; more than ``BATCH_WORDS`` words are searched in several passes.
@@ -55,7 +56,7 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.run = run
-        self.size = {i: len(w) for i, w in items}
+        self.words = dict(items)
         ends: list[list[tuple[int, int]]] = [[]]
         for item, seq in items:
             last = 0
@@ -142,17 +143,79 @@ def spans(auto: Automaton, tokens: list[str], least: int = 15, cover: float = 0.
             by_item[item].append((k, p))
     out = []
     for item, at in by_item.items():
-        want = min(least, auto.size[item])
-        if len(at) + auto.run - 1 < cover * want:
-            continue
+        seq = auto.words[item]
+        want = min(least, len(seq))
+        found = set()
         for chain in _chains(at, skip):
-            best = _best_span(chain, auto.run, cover)
+            # misspelled and swapped words are aligned, so what isn't counts more than it did beside exact runs
+            best = _best_span(_aligned(chain, auto.run, tokens, seq), (1 + 3 * cover) / 4)
             if best and best[3] >= want:
-                a, b, covered, length = best
+                found.add(best)
+        for a, b, covered, length in sorted(found):
+            if not any((c, d) != (a, b) and c <= a and b <= d for c, d, *_ in found):
                 out.append((item, a, b - a + 1, length, covered))
     return out
 
 
+def alike(a: str, b: str) -> bool:
+    """Whether two words are one misspelling apart: two letters swapped or, in words of four letters or more, one changed, added or dropped."""
+    if abs(len(a) - len(b)) > 1 or (min(len(a), len(b)) < 4 and (len(a) != len(b) or sorted(a) != sorted(b))):
+        return False
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    m = 0
+    while m < min(len(a), len(b)) - n and a[-1 - m] == b[-1 - m]:
+        m += 1
+    x, y = a[n : len(a) - m], b[n : len(b) - m]
+    return max(len(x), len(y)) <= 1 or (len(x) == len(y) == 2 and x == y[::-1])
+
+
+_ADDED = ((1, 0, 1), (2, 0, 2), (3, 0, 2))  # words passed in the document, in the passage, and matches asked for behind them
+_EDITS = ((1, 1, 1), (1, 0, 1), (0, 1, 1), (2, 2, 2), (2, 0, 2), (0, 2, 2), (2, 1, 2), (1, 2, 2), (3, 0, 2), (0, 3, 2))
+
+
+def _walk(doc: list[str], seq: list[str], i: int, j: int, step: int, i_end: int, j_end: int, edits: tuple) -> list[tuple[int, int]]:
+    """Aligned (document word, passage word) from i and j on in the direction of ``step``, up to the ends (exclusive)."""
+    out = []
+    while (n := (i_end - i) * step) > 0 and (m := (j_end - j) * step) > 0:
+        v, w = doc[i], seq[j]
+        if v == w or alike(v, w):
+            out.append((i, j))
+            a = b = 1
+        elif n > 1 and m > 1 and v == seq[j + step] and doc[i + step] == w:
+            out += [(i, j + step), (i + step, j)]
+            a = b = 2
+        else:
+            for a, b, least in edits:
+                if a + least <= n and b + least <= m and doc[i + a * step] == seq[j + b * step] and (least == 1 or doc[i + (a + 1) * step] == seq[j + (b + 1) * step]):
+                    break
+            else:
+                break
+        i, j = i + a * step, j + b * step
+    return out
+
+
+def _aligned(chain: list[tuple[int, int]], run: int, doc: list[str], seq: list[str]) -> list[tuple[int, int]]:
+    """(document word, passage word) of a chain's runs and of what aligns between and beside them, by passage word.
+
+    Beyond the outermost runs words may be misspelled, swapped or added; another
+    word in a word's place ends the passage there, else sentences of like pattern
+    would run on by chance.
+    """
+    k, p = chain[0]
+    pairs = _walk(doc, seq, k - run, p - run, -1, -1, -1, _ADDED)
+    last_k, last_p = k - run, p - run
+    for k, p in chain:
+        first = max(0, run - min(k - last_k, p - last_p))  # words of this run that are aligned already
+        if first == 0:
+            pairs += _walk(doc, seq, last_k + 1, last_p + 1, 1, k - run + 1, p - run + 1, _EDITS)
+        pairs += [(k - run + 1 + t, p - run + 1 + t) for t in range(first, run)]
+        last_k, last_p = k, p
+    pairs += _walk(doc, seq, last_k + 1, last_p + 1, 1, len(doc), len(seq), _ADDED)
+    return sorted(pairs, key=lambda x: (x[1], x[0]))
+
+
 def _chains(at: list[tuple[int, int]], skip: int) -> list[list[tuple[int, int]]]:
     """Places (document word, passage word) strung together while both move on by at most ``skip``."""
     chains: list[list[tuple[int, int]]] = []
@@ -169,26 +232,19 @@ def _chains(at: list[tuple[int, int]], skip: int) -> list[list[tuple[int, int]]]
     return chains
 
 
-def _best_span(chain: list[tuple[int, int]], run: int, cover: float) -> tuple[int, int, int, int] | None:
-    """(first, last word in the document, covered, passage words) of the longest stretch covered well enough."""
-    covered, prev = [], None
-    for _, p in chain:
-        covered.append(run if prev is None else min(run, p - prev))
-        prev = p
+def _best_span(pairs: list[tuple[int, int]], cover: float) -> tuple[int, int, int, int] | None:
+    """(first, last word in the document, aligned, passage words) of the longest stretch aligned well enough."""
     best = None
-    sums = [0]
-    for c in covered:
-        sums.append(sums[-1] + c)
-    for i in range(len(chain)):
-        if best and chain[-1][1] - chain[i][1] + run <= best[3]:
+    for i in range(len(pairs)):
+        if best and pairs[-1][1] - pairs[i][1] + 1 <= best[3]:
             break
-        for j in range(len(chain) - 1, i - 1, -1):
-            length = chain[j][1] - chain[i][1] + run
+        for j in range(len(pairs) - 1, i - 1, -1):
+            length = pairs[j][1] - pairs[i][1] + 1
             if best and length <= best[3]:
                 break
-            got = sums[j + 1] - sums[i] - covered[i] + run
-            if got >= cover * length:
-                best = (chain[i][0] - run + 1, chain[j][0], got, length)
+            if j - i + 1 >= cover * length:
+                at = [k for k, _ in pairs[i : j + 1]]
+                best = (min(at), max(at), j - i + 1, length)
                 break
     return best
 

@@ -217,6 +217,22 @@ def test_leaks(spark):
     assert leaks.without_spans(text, cut).split() == ["before", "after"]
 
 
+def test_spans_with_edits_inside_and_at_the_ends():
+    w = leaks.words(PASSAGE)
+    auto = leaks.Automaton([(7, w)])
+    fifteen = w[:15]
+    swap = lambda x, i: [*x[:i], x[i + 1], x[i], *x[i + 2 :]]
+    change = lambda x, *at: ["qqq" if i in at else v for i, v in enumerate(x)]
+    edited = {
+        "two inside": change(fifteen, 4, 10), "swap inside": swap(fifteen, 7), "two added": [*fifteen[:4], "qqq", *fifteen[4:10], "qqq", *fifteen[10:]], "three of twenty": change(w[:20], 5, 10, 15),
+        "second and last but one": [w[0], "fermnet", *w[2:13], "nad", w[14]], "swap at the end": swap(fifteen, 13), "misspelled at both ends": ["nither", *w[1:15], "pottre"], "added before the last": [*w[:14], "qqq", w[14]], "swap and change": change(swap(fifteen, 7), 3),
+    }
+    for name, x in edited.items():
+        found = leaks.spans(auto, ["so", *x, "bye"])
+        assert len(found) == 1 and found[0][:3] == (7, 1, len(x)), (name, found)
+    assert leaks.spans(auto, ["so", *w[:11], "bye"]) == [] and leaks.spans(auto, ["so", *change(fifteen, 3, 6, 9, 12), "bye"]) == []
+
+
 def corpus():
     rng = np.random.default_rng(8)
     noun = ["sensor", "ledger", "harbour", "reagent", "budget", "valve", "trawler", "script"]
