@@ -119,19 +119,33 @@ _ODD = re.compile("[\ufeff\u200b-\u200d\xad\u2060]")
 def sentences(text: str) -> list[str]:
     out = []
     for s in _SENTENCE.split(text):
-        s = " ".join(s.split())
-        if s and any(c.isalnum() or c == "_" for c in s):
-            out.append(s)
+        out += [x for x in _pieces(" ".join(s.split())) if any(c.isalnum() or c == "_" for c in x)]
     return out
 
 
+PIECE = 2000  # longer sentences are judged in pieces
+
+
+def _pieces(s: str) -> Iterator[str]:
+    """A sentence in pieces of at most ``PIECE`` characters, cut between words and never within a field."""
+    while len(s) > PIECE:
+        cut = s.rfind(" ", 1, PIECE + 1)
+        cut = cut if cut > 0 else PIECE
+        for m in FIELD.finditer(s, max(0, cut - 100), cut + 100):
+            if 0 < m.start() < cut < m.end():
+                cut = m.start()
+        yield s[:cut].strip()
+        s = s[cut:].strip()
+    yield s
+
+
 def masked(sentence: str) -> str:
     return FIELD.sub("  ", sentence) if _MAYBE_FIELD.search(sentence) else sentence
 
 
 def grams(mask: str) -> set[str]:
     """Word 1- and 2-grams; numbers are alike, an unfilled field is one word."""
-    w = ["^", *_TOKEN.findall(_NUMBER.sub("9", mask[:2000].lower())), "$"]
+    w = ["^", *_TOKEN.findall(_NUMBER.sub("9", mask.lower())), "$"]
     return {*w, *map(" ".join, zip(w, w[1:]))}
 
 

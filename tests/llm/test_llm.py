@@ -288,6 +288,19 @@ def test_shared_sentences_are_counted_over_all_documents(spark):
     assert n < 150 and common == whole and len([s for s in whole if s.startswith(note.strip()[:-1])]) == 3
 
 
+def test_long_sentences_are_judged_whole():
+    real, filler = "we counted ledger records and sent them on " * 60, "lorem ipsum dolor sit amet nostrud " * 60
+    d = residue.take_apart("Subject: x\n\n" + real + filler * 2)
+    assert len(d.parts) > 2 and max(map(len, d.parts)) <= 2000 and " ".join(d.parts) == " ".join((real + filler * 2).split())
+    weights = np.zeros(residue.SIZE)
+    weights[[residue.place(g) for g in ("lorem", "ipsum", "nostrud")]] = 1.0
+    m = residue.Model(weights, frozenset())
+    assert residue.judge(d, m, residue.Memo(weights))
+    assert not residue.judge(residue.take_apart("Subject: x\n\n" + filler + real * 3), m, residue.Memo(weights))
+    cut = residue.sentences("word " * 398 + "{{ first name }} " + "word " * 30)
+    assert "{{ first name }}" in " ".join(cut) and any("{{ first name }}" in x for x in cut)
+
+
 def test_own_message():
     raw = "Subject: x\n\nMine first.\n\nOn Tue, 1 May 2001, A B wrote:\n\n> theirs\n>\n> more\n\nMine again.\n\n-- \nName\nTel. 1\n"
     assert residue.own_message(raw).split("\n")[0] == "Mine first." and "theirs" not in residue.own_message(raw) and "Mine again." in residue.own_message(raw) and "Tel" not in residue.own_message(raw)
