@@ -1,24 +1,23 @@
 """Byte-level BPE of a whole corpus with Spark higher-order functions.
 
-A text is cut into words by the tokenizer's pattern. A word that is a token
-itself is looked up; any other distinct word of a stretch of text becomes the
-array of its bytes' ids, over which a fold applies the lowest-ranked merge until
-none is left. The ranks sit in a constant rank map (two-choice hashing over flat
-arrays), so a lookup is one or two array reads, nothing is shuffled or broadcast
-by data size, and a text costs the same wherever it lies. Decoding joins the
-tokens' byte strings.
-
-Words longer than ``LONG`` bytes would make the fold quadratic. Texts that hold
-one are encoded by ``encode_text``, the same merges with a heap, in Arrow batches.
+A text is cut into words by the tokenizer's pattern, once. A word that is a token
+itself or a frequent word is looked up; any other becomes the array of its bytes,
+over which a fold applies the lowest-ranked merge until none is left. The ranks
+sit in a constant rank map (rows of a sparse table laid over each other), so a
+lookup is two array reads, nothing is shuffled or broadcast by data size, and a
+text costs the same wherever it lies. Decoding joins the tokens' byte strings.
+
+The fold is quadratic in a word's length, so the single words longer than
+``LONG`` bytes take the same merges with a heap (``merge_word``) in Arrow batches.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -26,15 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SLOTS = 1 << 16
 WORD_SLOTS = 1 << 17
 MEMO_WORDS = 60_000  # words of several tokens that are kept with their ids
-MEMO_DOCS = 10_000  # documents whose words compete for the memo
-NONE = 1 << 30  # rank of a pair that doesn't merge
-LONG = 160  # bytes
-STRETCH = 512  # words among which distinct words are told
+MEMO_DOCS = 20_000  # documents whose words compete for the memo
+LONG = 256  # bytes of a word
 
-_PAIR_SHIFT = 17
+#: A place of a word's array holds (rank << 16 | id): the token's id and the rank, less ``HALF``, of the
+#: merge with its right neighbour, ``NEVER`` where they don't merge. The rank of a merge is the merged id.
+HALF = 1 << 15
+NEVER = 32767 << 16
 
 
 def _byte_letters() -> dict[str, int]:
@@ -62,8 +61,8 @@ class Vocabulary:
             x, y = as_bytes(a), as_bytes(b)
             self.pairs.setdefault((self.ids[x], self.ids[y]), (rank, self.ids[x + y]))
         order = sorted(self.pairs.values())
-        if any(a[1] >= b[1] for a, b in zip(order, order[1:], strict=False)):
-            raise ValueError("token ids must rise with the rank of their merge")
+        if any(a[1] >= b[1] for a, b in zip(order, order[1:], strict=False)) or max(self.pieces) >= 2 * HALF - 1:
+            raise ValueError("token ids must rise with the rank of their merge and lie below 65,535")
 
 
 @lru_cache(maxsize=4)
@@ -75,7 +74,7 @@ def two_choice(entries: list[tuple[int, int, object]], slots: int) -> tuple[list
     """Two tables in which each (first slot, second slot, item) lies at one of its slots."""
     tables: tuple[list, list] = ([None] * slots, [None] * slots)
     for e in entries:
-        side = 0
+        side = 0 if tables[0][e[0]] is None or tables[1][e[1]] is not None else 1
         for _ in range(500):
             at = e[side]
             e, tables[side][at] = tables[side][at], e
@@ -87,32 +86,64 @@ def two_choice(entries: list[tuple[int, int, object]], slots: int) -> tuple[list
     return tables
 
 
-def pair_slots(a: int, b: int) -> tuple[int, int]:
-    return (a * 40503 + b * 25717) % SLOTS, (a * 7919 + b * 48271 + (a >> 3)) % SLOTS
-
-
 def word_slots(word: bytes) -> tuple[int, int]:
     h = xxhash.xxh64_intdigest(word, seed=42)
     return h % WORD_SLOTS, (h >> 24) % WORD_SLOTS
 
 
+def rank_rows(v: Vocabulary) -> tuple[list[int], list[int]]:
+    """(first, cells): the merge of left token a and right token b lies in cells[first[a] + b].
+
+    Rows of the sparse table of merges are laid over each other, the fullest
+    first, each at the first shift that meets only free cells. A cell holds its
+    entry in the form of a word's array; a foreign one tells by its lower half.
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), (_, m) in v.pairs.items():
+        rows.setdefault(a, []).append((b, m))
+    free = np.ones(8 * 2 * HALF, dtype=bool)
+    cells = np.full(len(free), NEVER, dtype=np.int64)
+    first = [0] * (max(v.pieces) + 1)
+    open_cells, used = np.arange(len(free) - 2 * HALF), 0
+    for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        cols = np.array(sorted(b for b, _ in row))
+        for z in range(0, len(open_cells), 2048):
+            shifts = open_cells[z : z + 2048] - cols[0]
+            fit = shifts[shifts >= 0]
+            for c in cols:
+                fit = fit[free[fit + c]]
+                if not len(fit):
+                    break
+            if len(fit):
+                break
+        shift = int(fit[0])
+        merged = dict(row)
+        free[shift + cols] = False
+        cells[shift + cols] = [(merged[c] - HALF) << 16 | a for c in cols.tolist()]
+        first[a] = shift
+        used += len(cols)
+        if used > 256:
+            open_cells, used = open_cells[free[open_cells]], 0
+    return first, cells[: int(np.flatnonzero(~free)[-1]) + 1].tolist()
+
+
 def _tables(v: Vocabulary, memo: dict[str, list[int]] | None = None) -> Column:
-    """The tables as one value: byte ids, pair tables (key << 17 | merged id), word tables and their ids.
+    """The tables as one value: byte ids, rank rows, word tables and their ids.
 
     The value is a scalar subquery over one row, so plans name it without
     printing it, and it reaches the tasks as one block of bytes.
     """
-    pair = two_choice([(*pair_slots(a, b), ((a << _PAIR_SHIFT | b) << _PAIR_SHIFT) | m) for (a, b), (_, m) in v.pairs.items()], SLOTS)
-    words = [(*word_slots(w.encode()), (w, i)) for w, i in (memo or {}).items()]
-    for b, i in v.ids.items():
+    words = []
+    for b, i in sorted(v.ids.items(), key=lambda e: e[1]):
         try:
             words.append((*word_slots(b), (b.decode("utf-8"), [i])))
         except UnicodeDecodeError:
             continue
+    words += [(*word_slots(w.encode()), (w, i)) for w, i in (memo or {}).items()]
     w = two_choice(words, WORD_SLOTS)
     part = lambda t, j: [e[2][j] if e else None for e in t]
-    row = (v.byte_id, *[[e[2] if e else -1 for e in t] for t in pair], part(w[0], 0), part(w[1], 0), part(w[0], 1), part(w[1], 1))
-    kind = "t struct<bytes:array<int>,p0:array<bigint>,p1:array<bigint>,w0:array<string>,w1:array<string>,i0:array<array<int>>,i1:array<array<int>>>"
+    row = (v.byte_id, *rank_rows(v), part(w[0], 0), part(w[1], 0), part(w[0], 1), part(w[1], 1))
+    kind = "t struct<bytes:array<int>,first:array<int>,cells:array<int>,w0:array<string>,w1:array<string>,i0:array<array<int>>,i1:array<array<int>>>"
     return SparkSession.active().createDataFrame([(row,)], kind, verifySchema=False).coalesce(1).scalar()
 
 
@@ -121,102 +152,70 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _rank(t: Column, a: Column, b: Column) -> Column:
-    """Merged id (its rank) of two neighbours, NONE if they don't merge."""
-    a, b = a.cast("bigint"), b.cast("bigint")
-    key = a * (1 << _PAIR_SHIFT) + b
-    e0 = F.get(t["p0"], ((a * 40503 + b * 25717) % SLOTS).cast("int"))
-    e1 = F.get(t["p1"], ((a * 7919 + b * 48271 + F.shiftright(a, 3)) % SLOTS).cast("int"))
-    of = lambda e: e.bitwiseAND((1 << _PAIR_SHIFT) - 1).cast("int")
-    return F.when(F.shiftright(e0, _PAIR_SHIFT) == key, of(e0)).when(F.shiftright(e1, _PAIR_SHIFT) == key, of(e1)).otherwise(F.lit(NONE))
-
-
-def _whole(t: Column, word: Column) -> Column:
-    """Ids of a word that is a token or in the memo, else null."""
+def _id(e: Column) -> Column:
+    return e.bitwiseAND(2 * HALF - 1)
 
-    def at(h: Column) -> Column:
-        s0 = h.bitwiseAND(WORD_SLOTS - 1).cast("int")
-        s1 = F.shiftright(h, 24).bitwiseAND(WORD_SLOTS - 1).cast("int")
-        return F.when(F.get(t["w0"], s0) == word, F.get(t["i0"], s0)).when(F.get(t["w1"], s1) == word, F.get(t["i1"], s1))
 
-    return _let(F.xxhash64(word), at)
+def _place(t: Column, a: Column, b: Column) -> Column:
+    """What a word's array holds for token a before token b (null: the end)."""
+    cell = F.get(t["cells"], F.get(t["first"], a) + b)
+    return F.when(_id(cell) == a, cell).otherwise(a + NEVER)
 
 
 def _merged(t: Column, word: Column) -> Column:
     """Ids of a word by folding merges over its bytes."""
     letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
     first = F.transform(letters, lambda c: F.get(t["bytes"], F.ascii(c)))
-    ranks = lambda ids: F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: _rank(t, F.get(ids, i - 1), F.get(ids, i)))
+    start = _let(first, lambda ids: F.transform(ids, lambda a, i: _place(t, a, F.get(ids, i + 1))))
+
+    def step(e: Column, _) -> Column:
+        def put(m: Column, p: Column) -> Column:
+            new = F.shiftright(m, 16) + HALF
+            tail = _place(t, new, _id(F.get(e, p + 1)))
+            both = F.when(p > 1, F.array(_place(t, _id(F.get(e, p - 2)), new), tail)).otherwise(F.array(tail))
+            return F.concat(F.slice(e, F.lit(1), F.greatest(p - 2, F.lit(0))), both, F.slice(e, p + 2, F.size(e)))
 
-    def step(s: Column, _) -> Column:
         def merge(m: Column) -> Column:
-            def put(p: Column) -> Column:
-                n = F.size(s["ids"])
-                left = F.when(p > 1, F.array(_rank(t, F.get(s["ids"], p - 2), m))).otherwise(F.array().cast("array<int>"))
-                right = F.when(p + 1 < n, F.array(_rank(t, m, F.get(s["ids"], p + 1)))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(s["ids"], F.lit(1), p - 1), F.array(m), F.slice(s["ids"], p + 2, n)).alias("ids"),
-                    F.concat(F.slice(s["ranks"], F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(s["ranks"], p + 2, n)).alias("ranks"),
-                )
+            return F.when(m >= NEVER, e).otherwise(_let(F.array_position(e, m).cast("int"), lambda p: put(m, p)))
+
+        return _let(F.array_min(e), merge)
+
+    fold = lambda e: F.when(F.size(e) < 2, e).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(e)), e, step))
+    return F.transform(_let(start, fold), _id)
 
-            return F.when(m == NONE, s).otherwise(_let(F.array_position(s["ranks"], m).cast("int"), put))
 
-        return _let(F.array_min(s["ranks"]), merge)
+def _ids(t: Column, word: Column) -> Column:
+    """Ids of a word: looked up where it is a token or in the memo, else folded."""
+    h = F.xxhash64(word)
+    s0, s1 = h.bitwiseAND(WORD_SLOTS - 1).cast("int"), F.shiftright(h, 24).bitwiseAND(WORD_SLOTS - 1).cast("int")
+    known = F.when(F.get(t["w0"], s0) == word, F.get(t["i0"], s0)).when(F.get(t["w1"], s1) == word, F.get(t["i1"], s1))
+    return known.otherwise(_merged(t, word))
 
-    def fold(ids: Column) -> Column:
-        start = F.struct(ids.alias("ids"), ranks(ids).alias("ranks"))
-        return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(ids)), start, step, lambda s: s["ids"]))
 
-    return _let(first, fold)
+def _split(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
 
 
 def memo_words(texts: DataFrame, path: str) -> dict[str, list[int]]:
-    """Ids of the most frequent words of several tokens in a sample of about MEMO_DOCS texts.
+    """Ids of the most frequent words of several tokens in a sample of about MEMO_DOCS rows of (doc_id, text).
 
     The memo only spares folding them again and again: any other word is folded
     where it occurs. Its bound, MEMO_WORDS, doesn't depend on the corpus.
     """
     v, total = vocabulary(path), texts.count()
     share = min(1_000_000, -(-1_000_000 * MEMO_DOCS // max(1, total)))
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
-    words = drawn.select(F.explode(F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0))).alias("word"))
-    often = words.groupBy("word").count().where((F.col("count") > 1) & (F.length("word") < LONG // 4)).orderBy(F.desc("count"), "word").limit(MEMO_WORDS + len(v.ids))
+    drawn = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    words = drawn.select(F.explode(_split(F.col("text"))).alias("word"))
+    often = words.groupBy("word").count().where((F.col("count") > 1) & (F.octet_length("word") <= LONG)).orderBy(F.desc("count"), "word").limit(MEMO_WORDS + len(v.ids))
     rare = [w for w in often.select("word").toArrow()["word"].to_pylist() if w.encode() not in v.ids][:MEMO_WORDS]
     if not rare:
         return {}
     table = texts.sparkSession.createDataFrame(pa.table({"word": rare})).repartition(min(64, 1 + len(rare) // 2000))
-    table = table.select("word", _tables(v).alias("__t"))
+    table = table.select("word", _tables(v).alias("__t"))  # named once, so that it is never written into a row
     rows = table.select("word", _let(F.col("__t"), lambda t: _merged(t, F.col("word"))).alias("ids")).toArrow().to_pylist()
     return {r["word"]: r["ids"] for r in rows}
 
 
-def encode_column(text: Column, tables: Column) -> Column:
-    """Token ids of a text without over-long words; an empty array for null and empty texts."""
-    words = F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
-
-    def stretch(t: Column, w: Column) -> Column:
-        whole = F.transform(w, lambda x: _whole(t, x))
-        rare = F.array_distinct(F.filter(F.zip_with(w, whole, lambda x, i: F.when(i.isNull(), x)), lambda x: x.isNotNull()))
-        return _let(
-            F.struct(whole.alias("i"), rare.alias("r")),
-            lambda s: _let(
-                F.transform(s["r"], lambda x: _merged(t, x)),
-                lambda m: F.flatten(F.zip_with(w, s["i"], lambda x, i: F.when(i.isNotNull(), i).otherwise(F.get(m, F.array_position(s["r"], x).cast("int") - 1)))),
-            ),
-        )
-
-    def all_words(t: Column) -> Column:
-        return _let(
-            words,
-            lambda w: F.when(F.size(w) <= STRETCH, stretch(t, w)).otherwise(
-                F.flatten(F.transform(F.sequence(F.lit(1), F.size(w), F.lit(STRETCH)), lambda k: _let(F.slice(w, k, F.lit(STRETCH)), lambda x: stretch(t, x))))
-            ),
-        )
-
-    ids = _let(tables, all_words)
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<int>")).otherwise(ids)
-
-
 def merge_word(word: bytes, v: Vocabulary) -> list[int]:
     """Ids of one word of any length: the same merges, O(n log n) with a heap over a linked list."""
     if word in v.ids:
@@ -259,18 +258,19 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
     empty table gives an empty result. ``path`` names the vocabulary file.
     """
     slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    quarter = LONG // 4  # characters that may take LONG bytes
-    over = F.coalesce(F.col("text").rlike(rf"(?U)(?:^|\s)\S{{{quarter},}}") & F.col("text").rlike(rf"(?U)(?:^|[\s\p{{L}}\p{{N}}])(?:\p{{L}}{{{quarter},}}|\p{{N}}{{{quarter},}}|[^\s\p{{L}}\p{{N}}]{{{quarter},}})") | F.col("text").rlike(rf"(?U)(?:^|\S)\s{{{quarter},}}"), F.lit(False))
-    kind = dict(slim.dtypes)["doc_id"]
+    memo = memo_words(slim, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def heap(words: pa.Array) -> pa.Array:
         v = vocabulary(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode_text(t, v) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    memo = memo_words(slim.where(~over).select("text"), path)
-    usual = slim.where(~over).select("doc_id", "text", _tables(vocabulary(path), memo).alias("__t")).select("doc_id", encode_column(F.col("text"), F.col("__t")).alias("ids"))
-    return usual.unionByName(slim.where(over).mapInArrow(run, f"doc_id {kind}, ids array<int>"))
+        return pa.array([[merge_word(w.encode("utf-8"), v) for w in ws] for ws in words.to_pylist()], pa.list_(pa.list_(pa.int32())))
+
+    words = slim.select("doc_id", F.coalesce(_split(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    over = F.filter("w", lambda x: F.octet_length(x) > LONG)  # empty for nearly all texts
+    words = words.withColumn("__l", over).withColumn("__i", F.arrow_udf(heap, "array<array<int>>")("__l"))
+    words = words.withColumn("__t", _tables(vocabulary(path), memo))
+    long = lambda x: F.get("__i", F.array_position("__l", x).cast("int") - 1)
+    each = lambda t: F.transform("w", lambda x: F.when(F.octet_length(x) > LONG, long(x)).otherwise(_ids(t, x)))
+    return words.select("doc_id", F.flatten(_let(F.col("__t"), each)).alias("ids"))
 
 
 def decode(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
