@@ -184,12 +184,12 @@ def _merged(t: Column, word: Column) -> Column:
     return F.transform(_let(start, fold), _id)
 
 
-def _ids(t: Column, word: Column) -> Column:
-    """Ids of a word: looked up where it is a token or in the memo, else folded."""
+def _ids(t: Column, word: Column, long: Column) -> Column:
+    """Ids of a word: looked up where it is a token or in the memo, else ``long`` beyond LONG bytes, else folded."""
     h = F.xxhash64(word)
     s0, s1 = h.bitwiseAND(WORD_SLOTS - 1).cast("int"), F.shiftright(h, 24).bitwiseAND(WORD_SLOTS - 1).cast("int")
     known = F.when(F.get(t["w0"], s0) == word, F.get(t["i0"], s0)).when(F.get(t["w1"], s1) == word, F.get(t["i1"], s1))
-    return known.otherwise(_merged(t, word))
+    return known.when(F.octet_length(word) > LONG, long).otherwise(_merged(t, word))
 
 
 def _split(text: Column) -> Column:
@@ -269,7 +269,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
     words = words.withColumn("__l", over).withColumn("__i", F.arrow_udf(heap, "array<array<int>>")("__l"))
     words = words.withColumn("__t", _tables(vocabulary(path), memo))
     long = lambda x: F.get("__i", F.array_position("__l", x).cast("int") - 1)
-    each = lambda t: F.transform("w", lambda x: F.when(F.octet_length(x) > LONG, long(x)).otherwise(_ids(t, x)))
+    each = lambda t: F.transform("w", lambda x: _ids(t, x, long(x)))
     return words.select("doc_id", F.flatten(_let(F.col("__t"), each)).alias("ids"))
 
 
