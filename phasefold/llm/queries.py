@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasefold.operators.latest import latest_rows
+from phasefold.session import materialize
 
 from .leaks import leaked_spans
 from .residue import find_residue
@@ -30,6 +31,22 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(_ties(spark, d), SHARES).select(F.col("record").alias("input_id"), "split")
 
 
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Of each split whether its share is as near its target as the ties allow, and whether ties stay whole."""
+    ties = materialize(_ties(spark, d))
+    got = materialize(assign_splits(ties, SHARES))
+    placed = got.join(ties, "record")
+    crossing = placed.groupBy("first").agg(F.count_distinct("split").alias("n")).agg(F.max("n").alias("most"))
+    largest = ties.groupBy("first").count().agg(F.max("count").alias("largest"))
+    total = got.agg(F.count("*").alias("records"), F.count_distinct("record").alias("ids"))
+    each = got.groupBy("split").agg(F.count("*").alias("n"))
+    target = F.create_map(*[F.lit(x) for kv in SHARES.items() for x in kv])[F.col("split")]
+    one = each.join(F.broadcast(crossing.join(largest).join(total)))  # one row of figures
+    # whole components: a split may miss its target by the largest of them, or by 1 % of the records
+    near = F.abs(F.col("n") - target * F.col("records")) <= F.greatest(F.col("largest"), F.col("records") * 0.01)
+    return one.select("split", near.alias("near"), (F.col("most") == 1).alias("whole"), "records", "ids")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["testRuns", "testRows", "trainRuns", "trainRows"]
     rows = latest_rows(spark.read.parquet(f"{d}/neighbor_candidates.parquet"), keys, "loaded_at", ["distance"])
@@ -80,7 +97,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(spark.read.parquet(f"{d}/documents.parquet"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 
 ORACLE = {
     "p2_found": r"""
@@ -93,6 +110,9 @@ k AS (SELECT i, 'r' || a AS k FROM r WHERE a IS NOT NULL UNION SELECT i, 'r' ||
 e AS (SELECT DISTINCT x.i AS a, y.i AS b FROM k x JOIN k y USING (k)),
 c(i, m) AS (SELECT a, b FROM e UNION SELECT e.a, c.m FROM e JOIN c ON e.b = c.i)
 SELECT min(m) AS first_id, i AS input_id FROM c GROUP BY i HAVING min(m) < i""",
+    "p2_shares": """
+SELECT s.split, TRUE AS near, TRUE AS whole, n AS records, n AS ids
+FROM (VALUES ('train'), ('validation'), ('test')) s(split), (SELECT count(DISTINCT input_id) AS n FROM prediction_inputs)""",
     "p4_found": """
 WITH held AS (
   SELECT testRuns, testRows, trainRuns, trainRows, arg_max(struct_pack(d := distance), loaded_at).d AS d

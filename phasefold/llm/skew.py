@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+HEAVY = 1000  # rows of a key that may count as heavy
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, shares: int = 400) -> DataFrame:
     """Inner join of ``left`` with ``right``, in which ``key`` is unique.
 
-    Keys that hold more than 1/``shares`` of the left rows are at most
-    ``shares``; their right rows are broadcast (so at most ``shares`` rows,
-    whatever the input) and their left rows stay where they are. All other keys
-    are joined by a shuffle in which no key has more than 1/``shares`` of the
-    rows. Null keys match nothing. ``left`` is read three times: materialize it.
+    The ``shares`` most frequent keys of ``left`` with more than ``HEAVY`` rows
+    have their right rows broadcast (at most ``shares`` rows, whatever the input);
+    their left rows stay where they are. All other keys are joined by a shuffle
+    in which no key has more than 1/``shares`` of the rows or ``HEAVY`` rows. Null
+    keys match nothing. ``left`` is read twice or thrice: materialize it.
     """
-    total = left.count()
-    heavy = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") * shares > max(total, shares * 1000)).select(key)
-    heavy_keys = [r[0] for r in heavy.collect()]  # at most `shares` keys
-    if not heavy_keys:
+    counted = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > HEAVY)
+    heavy = [r[0] for r in counted.orderBy(F.desc("count")).limit(shares).collect()]
+    if not heavy:
         return left.join(right, key)
-    is_heavy = F.col(key).isin(heavy_keys)
+    is_heavy = F.col(key).isin(heavy)
     few = right.where(is_heavy)
     return left.where(is_heavy).join(F.broadcast(few), key).unionByName(left.where(~is_heavy).join(right.where(~is_heavy), key))

@@ -2,8 +2,8 @@
 
 1. Rows are spread by their full key, so a group of any size lies in many tasks.
    Each task sorts its rows by group and score: a sorted run of every group it
-   holds. Of a run no more than the largest N asked for can survive; the task
-   seeks to the next group after that many.
+   holds. Of a run no more than the group's own N can survive; the task seeks
+   to the next group after that many.
 2. The survivors are stored in buckets by group, each run still in order. A
    bucket's task merges the runs of a group with a tree of losers, which costs
    log2(runs) comparisons an output, stops after the group's own N outputs and
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasefold.functions.arrow_groups import group_starts, whole_groups
+from phasefold.session import materialize
 
+from .skew import join_unique
 
-#: Limits are broadcast up to this many rows (16 bytes each); more are joined by a shuffle, whose skew AQE splits.
+#: Limits are broadcast up to this many rows (16 bytes each); more are joined by a shuffle that splits hot keys off.
 BROADCAST_ROWS = 500_000
 
 
@@ -79,26 +81,33 @@ def merge_runs(runs: list[list], n: int) -> list:
     return out
 
 
-def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], limits: DataFrame, limit_key: str, n: str, default_n: int | None = None) -> DataFrame:
+def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], limits: DataFrame, limit_key: str, n: str, default_n: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The ``n`` rows of each group with the smallest ``score``, ties by ``ties`` in order.
 
     ``df`` holds one row per (group, ties); all of these columns are BIGINT,
     ``score`` is DOUBLE. ``limits`` gives ``n`` for each ``limit_key`` (a group
     column, unique there); a group without a limit gets ``default_n`` or, where
-    that is None, nothing. Rows with a null in group or ties, or a score that is
+    that is None, nothing; an ``n`` of 0 or less gives nothing. Rows with a null in group or ties, or a score that is
     null, NaN or infinite, don't count. A group with fewer rows is kept whole.
-    Returns the columns group + ties + rank (1 is best). Empty in, empty out.
+    A bucket's task holds one group's survivors at a time: at most ``n`` of each
+    run. Returns the columns group + ties + rank (1 is best). Empty in, empty out.
     """
     keys = [*group, *ties]
     slim = df.select(*keys, score)
     for c in keys:
         slim = slim.where(F.col(c).isNotNull())
     slim = slim.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")))
-    wanted = limits.select(limit_key, F.col(n).cast("long").alias("__n")).where(F.col("__n") > 0)
-    most, n_limits = wanted.agg(F.max("__n"), F.count("*")).first()
-    most = max(most or 0, default_n or 0)
-    if n_limits <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = limits.select(limit_key, F.col(n).cast("long").alias("__n")).where("__n IS NOT NULL")
+    if wanted.count() <= broadcast_rows:
+        slim = slim.join(F.broadcast(wanted), limit_key, "inner" if default_n is None else "left")
+    else:
+        slim = materialize(slim)
+        if default_n is not None:
+            wanted = slim.select(limit_key).distinct().join(wanted, limit_key, "left")
+        slim = join_unique(slim, wanted, limit_key)
+    if default_n is not None:
+        slim = slim.withColumn("__n", F.coalesce("__n", F.lit(default_n).cast("long")))
+    slim = slim.where("__n > 0").select(*keys, score, "__n")
     order = [*group, score, *ties]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,17 +127,13 @@ def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], limits:
                 rank[: size[0]] += taken
             last = tuple(b.column(c)[-1].as_py() for c in group)
             taken = int(rank[-1]) + 1
-            kept = b.filter(pa.array(rank < most))
+            kept = b.filter(pa.array(rank < b.column("__n").to_numpy()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.full(kept.num_rows, run), pa.int64())], [*kept.schema.names, "__run"])
 
     kinds = dict(slim.dtypes)
     cols = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, score])
-    runs = slim.repartition(*keys).sortWithinPartitions(*order).mapInArrow(cut, f"{cols}, __run long")
-    if default_n is None:
-        limited = runs.join(wanted, limit_key)
-    else:
-        limited = runs.join(wanted, limit_key, "left").withColumn("__n", F.coalesce("__n", F.lit(default_n)))
-    bucketed = limited.repartition(*group).sortWithinPartitions(*group, "__run", score, *ties)
+    runs = slim.repartition(*keys).sortWithinPartitions(*order).mapInArrow(cut, f"{cols}, __n long, __run long")
+    bucketed = runs.repartition(*group).sortWithinPartitions(*group, "__run", score, *ties)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, group):

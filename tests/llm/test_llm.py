@@ -35,6 +35,9 @@ def test_top_n_against_sorting(spark):
         best = sorted((s, a, b) for h, a, b, s in rows if h == g)[:g]
         want += [(g, a, b, i + 1) for i, (s, a, b) in enumerate(best)]
     assert got == sorted([*want, (9, 2, 2, 1)])
+    hot = limits.unionByName(spark.createDataFrame([(77, 10**9)], "g long, n long"))  # a huge N of another group cuts nothing off less
+    for shuffled in (topn.top_n(df, ["g"], "s", ["a", "b"], hot, "g", "n", broadcast_rows=0), topn.top_n(df, ["g"], "s", ["a", "b"], hot.where("g <> 9"), "g", "n", default_n=4, broadcast_rows=0)):
+        assert sorted(tuple(r) for r in shuffled.collect()) == sorted([*want, (9, 2, 2, 1)])
     assert topn.top_n(df.where("false"), ["g"], "s", ["a", "b"], limits, "g", "n").count() == 0
 
 
@@ -79,6 +82,25 @@ def test_ties_and_splits(spark):
     assert splits.tie_records(df.where("false"), "i", ["a", "b"], "c").count() == 0
 
 
+def test_components_by_rounds_equal_those_of_one_task(spark):
+    rng = np.random.default_rng(12)
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(30)] + [(5, 5), (None, 3), (7, None)]
+    df = spark.createDataFrame(e, "a long, b long")
+    one, many = ({tuple(r) for r in splits.components(df, task_links=n).collect()} for n in (10**6, 20))
+    assert one == many
+    node, root = splits.roots(*np.array([x for x in e if None not in x]).T)
+    assert one == set(zip(node.tolist(), root.tolist(), strict=True))
+
+
+def test_splits_balance_level_by_level(spark):
+    rng = np.random.default_rng(13)
+    ties = spark.createDataFrame([(i, int(g)) for i, g in enumerate(rng.integers(0, 900, 4000))], "record long, first long")
+    got = splits.assign_splits(ties, {"train": 0.8, "validation": 0.1, "test": 0.1}, bins=20, per_task=50).join(ties, "record")
+    assert got.count() == 4000 and got.groupBy("first").agg(F.count_distinct("split").alias("n")).where("n > 1").isEmpty()
+    n = {r[0]: r[1] for r in got.groupBy("split").count().collect()}
+    assert abs(n["train"] - 3200) < 60 and abs(n["validation"] - 400) < 60
+
+
 def test_difference_bins_balances():
     w = np.random.default_rng(3).integers(1, 50, 500).astype(float)
     sums = np.bincount(splits.difference_bins(w, 10), weights=w)
