@@ -2,22 +2,23 @@
 
 All held-out passages, as normalised words, go into one generalised suffix
 automaton. A document's words are streamed through it; at each word the automaton
-knows the longest run of words ending there that any passage holds. Where runs
-are long enough, their places in the passages are read off the automaton and
+knows the longest run of words ending there that any passage holds. From its
+states the maximal runs that a document shares with each passage are read off and
 chained into spans that may skip a few words on either side, so misspelled,
 swapped or added words don't end a span. Between and beside the runs single words
 are aligned as well. A span counts if it reaches the least length and most of its
-words are aligned.
+words are aligned. Spans can be removed: words carry their places in the decoded
+text, so what is cut out is exactly the span.
 
 The automaton is built in the driver and broadcast. Its size follows the held-out
-material only; more than ``BATCH_WORDS`` words are searched in several passes.
+material only (about 700 bytes a word); more than ``BATCH_WORDS`` words are
+searched in several passes.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .mail import parts, strip_markup
 
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 300_000
 RUN = 3  # shortest run of words that tells of a place in a passage
 
 _WORD = re.compile(r"[^\W_]+")
@@ -42,6 +43,26 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where each of ``words(text)`` begins and ends in ``text``, its marks and hidden characters included."""
+    if text.isascii():
+        return [m.span() for m in _WORD.finditer(text)]
+    plain, at = [], []
+    for i, c in enumerate(text):
+        if _HIDDEN.match(c):
+            continue
+        kept = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        plain.append(kept)
+        at += [i] * len(kept)
+    out = []
+    for m in _WORD.finditer("".join(plain)):
+        end = at[m.end() - 1] + 1
+        while end < len(text) and (unicodedata.combining(text[end]) or _HIDDEN.match(text[end])):
+            end += 1
+        out.append((at[m.start()], end))
+    return out
+
+
 def texts(raw: str | None) -> Iterator[str]:
     """The decoded parts of a mail's body."""
     for p in parts(raw):
@@ -57,6 +78,10 @@ class Automaton:
         self.link, self.length = [-1], [0]
         self.run = run
         self.words = dict(items)
+        self.short: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)  # passages of fewer words than a run
+        for item, seq in items:
+            if len(seq) < run:
+                self.short[seq[0]].append((item, seq))
         ends: list[list[tuple[int, int]]] = [[]]
         for item, seq in items:
             last = 0
@@ -110,8 +135,8 @@ class Automaton:
         ends.append([])
         return len(self.length) - 1
 
-    def stream(self, tokens: list[str]) -> list[tuple[int, int]]:
-        """(position, state) wherever the longest matching run has ``run`` words or more."""
+    def stream(self, tokens: list[str]) -> list[tuple[int, int, int]]:
+        """(position, state, length) wherever the longest matching run has ``run`` words or more."""
         nxt, link, length, least = self.next, self.link, self.length, self.run
         out = []
         v = n = 0
@@ -128,25 +153,48 @@ class Automaton:
                 v = row[w]
                 n += 1
                 if n >= least:
-                    out.append((k, v))
+                    out.append((k, v, n))
         return out
 
+    def runs(self, tokens: list[str]) -> dict[int, list[tuple[int, int, int]]]:
+        """By item, the maximal runs (last document word, last passage word, words) that tokens share with it.
+
+        A run is maximal if neither end can be moved outwards.
+        """
+        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        live: dict[tuple[int, int], int] = {}  # (item, passage word) of the runs that end at the last word
+        last = -2
+        for k, v, n in self.stream(tokens):
+            if k != last + 1:
+                self._close(out, live, last)
+                live = {}
+            now = {}
+            for item, p in self.places[self.base[v]]:
+                now[item, p] = live.pop((item, p - 1), self.run - 1) + 1
+            self._close(out, live, last)
+            live, last = now, k
+        self._close(out, live, last)
+        return out
+
+    @staticmethod
+    def _close(out: dict, live: dict, k: int) -> None:
+        for (item, p), n in live.items():
+            out[item].append((k, p, n))
+
 
 def spans(auto: Automaton, tokens: list[str], least: int = 15, cover: float = 0.8, skip: int = 8) -> list[tuple[int, int, int, int, int]]:
     """(item, first word, words, words of the passage, words covered) of every leaked span in ``tokens``."""
-    hits = auto.stream(tokens)
-    if not hits:
-        return []
-    by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for k, v in hits:
-        for item, p in auto.places[auto.base[v]]:
-            by_item[item].append((k, p))
     out = []
-    for item, at in by_item.items():
+    if auto.short:
+        for k, w in enumerate(tokens):
+            for item, seq in auto.short.get(w, ()):
+                if tokens[k : k + len(seq)] == seq:
+                    out.append((item, k, len(seq), len(seq), len(seq)))
+    for item, at in auto.runs(tokens).items():
         seq = auto.words[item]
         want = min(least, len(seq))
         found = set()
-        for chain in _chains(at, skip):
+        for chain in _chains(at, auto.run, skip):
             # misspelled and swapped words are aligned, so what isn't counts more than it did beside exact runs
             best = _best_span(_aligned(chain, auto.run, tokens, seq), (1 + 3 * cover) / 4)
             if best and best[3] >= want:
@@ -216,19 +264,21 @@ def _aligned(chain: list[tuple[int, int]], run: int, doc: list[str], seq: list[s
     return sorted(pairs, key=lambda x: (x[1], x[0]))
 
 
-def _chains(at: list[tuple[int, int]], skip: int) -> list[list[tuple[int, int]]]:
-    """Places (document word, passage word) strung together while both move on by at most ``skip``."""
+def _chains(runs: list[tuple[int, int, int]], run: int, skip: int) -> list[list[tuple[int, int]]]:
+    """Runs strung together while both sides move on by at most ``skip``, as places (document word, passage word)."""
     chains: list[list[tuple[int, int]]] = []
     live: list[list[tuple[int, int]]] = []
-    for k, p in sorted(at):
+    for n, k, p in sorted((k - n, k, p) for k, p, n in runs):
+        n = k - n
+        places = [(k - t, p - t) for t in range(n - run, -1, -1)]
+        k, p = places[0]
         live = [c for c in live if k - c[-1][0] <= skip]
         fit = [c for c in live if 0 < p - c[-1][1] <= skip and k > c[-1][0]]
         if fit:
-            max(fit, key=lambda c: (-abs((k - c[-1][0]) - (p - c[-1][1])), len(c))).append((k, p))
+            max(fit, key=lambda c: (-abs((k - c[-1][0]) - (p - c[-1][1])), len(c))).extend(places)
         else:
-            c = [(k, p)]
-            chains.append(c)
-            live.append(c)
+            chains.append(places)
+            live.append(places)
     return chains
 
 
@@ -297,22 +347,51 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 
 def without_spans(text: str, cut: list[tuple[int, int]]) -> str:
-    """``text`` without the words of the spans (first word, words) and what stands between them."""
+    """``text`` without the words of the spans (first word, words) and what stands between them; the rest as it was."""
     if not cut:
         return text
-    plain = text
-    if not text.isascii():
-        plain = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    at = [m.span() for m in _WORD.finditer(plain)]
-    first = [a for a, _ in at]
+    at = word_places(text)
     keep, pos = [], 0
     for a, n in sorted(cut):
-        if a >= len(at):
-            continue
-        start, end = at[a][0], at[min(a + n, len(at)) - 1][1]
-        if start >= pos:
-            keep.append(plain[pos:start])
+        start, end = at[a][0], at[a + n - 1][1]
+        if start > pos:
+            keep.append(text[pos:start])
         pos = max(pos, end)
-    assert bisect_left(first, pos) <= len(at)
-    keep.append(plain[pos:])
-    return "".join(keep)
+    return "".join([*keep, text[pos:]])
+
+
+def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", least: int = 15, cover: float = 0.8) -> DataFrame:
+    """(doc_id, text, spans, words): every document's decoded text without its leaked spans.
+
+    The decoded parts stand below each other; ``spans`` and ``words`` count what
+    was cut out, overlapping spans of several items each. A null text stays null, an empty
+    one gives ''. Repeated rows are kept; other columns are not read.
+    """
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+    def split(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tables:
+            apart = [None if raw is None else [t.encode("utf-8", "replace").decode() for t in texts(raw)] for raw in b.column("text").to_pylist()]
+            none = pa.array([0] * b.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(apart, pa.list_(pa.string())), none, none], ["doc_id", "parts", "spans", "words"])
+
+    schema = "doc_id long, parts array<string>, spans int, words int"
+    out = slim.mapInArrow(split, schema)
+    for batch in _batches(items, item_id, passage):
+        shared = docs.sparkSession.sparkContext.broadcast(Automaton(batch))
+
+        def run(tables: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            auto = shared.value
+            for b in tables:
+                left, n_spans, n_words = [], b.column("spans").to_pylist(), b.column("words").to_pylist()
+                for i, parts_ in enumerate(b.column("parts").to_pylist()):
+                    if parts_ is not None:
+                        cuts = [[(s[1], s[2]) for s in spans(auto, words(t), least, cover)] for t in parts_]
+                        n_spans[i] += sum(map(len, cuts))
+                        n_words[i] += sum(n for c in cuts for _, n in c)
+                        parts_ = list(map(without_spans, parts_, cuts))
+                    left.append(parts_)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(left, pa.list_(pa.string())), pa.array(n_spans, pa.int32()), pa.array(n_words, pa.int32())], ["doc_id", "parts", "spans", "words"])
+
+        out = out.mapInArrow(run, schema)
+    return out.select("doc_id", F.when(F.col("parts").isNotNull(), F.concat_ws("\n\n", "parts")).alias("text"), "spans", "words")

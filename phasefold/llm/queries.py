@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phasefold.operators.latest import latest_rows
 from phasefold.session import materialize
 
-from .leaks import leaked_spans
+from .leaks import leaked_spans, remove_leaks
 from .residue import find_residue
 from .splits import assign_splits, tie_records
 from .tokens import encode
@@ -66,6 +66,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's decoded text without the spans that leaked."""
+    return remove_leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/heldout_items.parquet"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(spark.read.parquet(f"{d}/documents.parquet")).distinct()
 
@@ -97,7 +102,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(spark.read.parquet(f"{d}/documents.parquet"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p7_cleaned": p7_cleaned, "p8_found": p8_found}
 
 ORACLE = {
     "p2_found": r"""

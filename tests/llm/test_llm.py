@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from phasefold.llm import leaks, mail, residue, splits, tokens, topn, vectors
@@ -213,12 +215,46 @@ def test_automaton_knows_longest_runs():
     seq = [chr(97 + c) for c in rng.integers(0, 4, 80)]
     auto = leaks.Automaton(items)
     want = brute_longest(items, seq)
-    assert [k for k, _ in auto.stream(seq)] == [k for k, n in enumerate(want) if n >= leaks.RUN]
-    for k, v in auto.stream(seq):
+    assert [(k, n) for k, _, n in auto.stream(seq)] == [(k, n) for k, n in enumerate(want) if n >= leaks.RUN]
+    for k, v, _ in auto.stream(seq):
         run = seq[k - leaks.RUN + 1 : k + 1]
         assert auto.places[auto.base[v]] == [(i, p) for i, w in items for p in range(leaks.RUN - 1, len(w)) if w[p - leaks.RUN + 1 : p + 1] == run]
 
 
+    for item, w in items:
+        runs = set()
+        for k in range(len(seq)):
+            for p in range(len(w)):
+                n = 0
+                while n <= min(k, p) and seq[k - n] == w[p - n]:
+                    n += 1
+                if n >= leaks.RUN and not (k + 1 < len(seq) and p + 1 < len(w) and seq[k + 1] == w[p + 1]):
+                    runs.add((k, p, n))
+        assert set(auto.runs(seq).get(item, [])) == runs
+
+
+@given(st.text(alphabet="aé x̃ỹ\u0301\u200bﬁß\xadÅ日.-_ \n'", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_words_carry_their_places(text):
+    at = leaks.word_places(text)
+    assert [leaks.words(text[a:b]) for a, b in at] == [[w] for w in leaks.words(text)]
+    assert all(b <= c for (_, b), (c, _) in zip(at, at[1:]))
+
+
+def test_removal_keeps_all_other_text(spark):
+    before, after = "été déjà x̃ỹ ½ before\u200b, ", " after ﬁn."
+    passage = PASSAGE.replace("glacier", "gla\u0301cier\u200b")
+    raw = "Subject: x\n\n" + before + passage + after
+    items = spark.createDataFrame([(7, PASSAGE), (8, "two words")], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, raw), (2, None), (3, ""), (1, raw), (4, "Subject: y\n\nnothing here"), (5, "Subject: y\n\nany two words, here")], "doc_id long, text string").withColumn("parts", F.lit(1))
+    got = sorted(map(tuple, leaks.remove_leaks(docs, items).collect()))
+    n = len(leaks.words(PASSAGE))
+    assert got == [(1, before + after, 1, n), (1, before + after, 1, n), (2, None, 0, 0), (3, "", 0, 0), (4, "nothing here", 0, 0), (5, "any , here", 1, 2)]
+    assert leaks.remove_leaks(docs.where("false"), items).count() == 0 and leaks.remove_leaks(docs, items.where("false")).count() == 6
+    again = leaks.remove_leaks(docs, items)
+    assert leaks.leaked_spans(again, items).count() == 0
+
+
 def test_leaks(spark):
     w = PASSAGE.split()
     head = "Subject: x\n\n"
