@@ -10,7 +10,8 @@ spread over the cells in proportion to the overlap; intervals longer than
 
 Readings are chained in two steps, within a day and from day to day, so the
 largest window partition is one source's readings of one day or one source's
-days, however many readings a source has.
+days, however many readings a source has. A day is summed up before it is
+shuffled on, and every row goes through one chain of three shuffles at most.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def regular_grid(df: DataFrame, source: Column, moment: Column, value: Column, o
     reading lies in the cell), 'filled' (none, but intervals cover all of it) or
     'uncovered' (none, and some of it lies in a gap longer than
     ``max_gap_days``). ``kind`` is 'level' or 'counter'. Readings with a null in
-    source, moment or value, a NaN or infinite value, don't count. Readings of
+    source, moment or value, or a NaN value, don't count. Readings of
     one moment are chained in the order of ``order`` and the value; equal rows
     are all kept. An empty table gives an empty result.
     """
@@ -59,36 +60,41 @@ def regular_grid(df: DataFrame, source: Column, moment: Column, value: Column, o
     base = df.select(source.cast("string").alias("source"), moment.cast("timestamp_ntz").alias("t"), value.cast("double").alias("v"), order.cast("long").alias("o"))
     base = base.where("source IS NOT NULL AND t IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)").withColumn("day", F.col("t").cast("date"))
     spot = F.struct("t", "o", "v")
-    in_day = Window.partitionBy("source", "day").orderBy("t", "o", "v")
-    chained = base.withColumn("next", F.lead(spot).over(in_day))
-    inner = chained.where("next IS NOT NULL").select("source", spot.alias("a"), F.col("next").alias("b"))
-    days = chained.groupBy("source", "day").agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.count("*").alias("n"))
-    by_day = Window.partitionBy("source").orderBy("day")
-    linked = days.withColumn("b", F.lead("first").over(by_day))
-    outer = linked.where("b IS NOT NULL").select("source", F.col("last").alias("a"), "b")
-
     origin = F.lit(first_cell).cast("timestamp_ntz")
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
     cell_of = lambda c: F.floor(F.datediff(c.cast("date"), origin.cast("date")) / F.lit(cell_days))
-    hours = (seconds(F.col("b.t")) - seconds(F.col("a.t"))) / 3600
-    fell = F.col("b.v") < F.col("a.v")
-    if kind == "counter":
-        amount, reset = F.when(fell, F.col("b.v")).otherwise(F.col("b.v") - F.col("a.v")), fell.cast("long")
-    else:
-        amount, reset = (F.col("a.v") + F.col("b.v")) / 2 * hours, F.lit(0).cast("long")
-    spans = inner.unionByName(outer).select("source", "a", "b", hours.alias("hours"), amount.alias("amount"), reset.alias("reset"))
-    cells = spans.withColumn("c", F.explode(F.sequence(cell_of(F.col("a.t")), cell_of(F.col("b.t")))))
+
+    def span(a: Column, b: Column) -> Column:
+        """Hours, increment and reset between two readings; null where there is no second."""
+        hours = (seconds(b["t"]) - seconds(a["t"])) / 3600
+        if kind == "counter":
+            fell = b["v"] < a["v"]
+            amount, reset = F.when(fell, b["v"]).otherwise(b["v"] - a["v"]), fell.cast("long")
+        else:
+            amount, reset = (a["v"] + b["v"]) / 2 * hours, F.lit(0).cast("long")
+        return F.when(b.isNotNull(), F.struct(hours.alias("hours"), amount.alias("amount"), reset.alias("reset"), (hours <= F.lit(max_gap_days * 24)).alias("trusted")))
+
+    in_day = Window.partitionBy("source", "day").orderBy("t", "o", "v")
+    chained = base.withColumn("to", F.lead(spot).over(in_day)).withColumn("s", span(spot, F.col("to")))
+    days = chained.groupBy("source", "day").agg(
+        F.min(spot).alias("first"), F.max(spot).alias("last"), F.count("*").alias("n"), F.sum(F.when(F.col("s.trusted"), F.col("s.amount"))).alias("amount"), F.sum(F.when(F.col("s.trusted"), F.col("s.hours"))).alias("covered"),
+        F.sum(F.when(~F.col("s.trusted"), F.col("s.hours"))).alias("uncovered"), F.sum("s.reset").alias("resets"),
+    )
+    linked = days.withColumn("to", F.lead("first").over(Window.partitionBy("source").orderBy("day"))).withColumn("s", span(F.col("last"), F.col("to")))
+    own, until = cell_of(F.col("last.t")), cell_of(F.col("to.t"))
+    cells = linked.withColumn("c", F.explode(F.sequence(own, F.coalesce(until, own))))
     left = seconds(origin) + F.col("c") * (cell_days * 86400)
-    overlap = (F.least(seconds(F.col("b.t")), left + cell_days * 86400) - F.greatest(seconds(F.col("a.t")), left)) / 3600
-    share = F.when(F.col("hours") > 0, overlap / F.nullif(F.col("hours"), F.lit(0.0))).otherwise(1.0)
-    trusted = F.col("hours") <= F.lit(max_gap_days * 24)
+    overlap = (F.least(seconds(F.col("to.t")), left + cell_days * 86400) - F.greatest(seconds(F.col("last.t")), left)) / 3600
+    share = F.when(F.col("s.hours") > 0, overlap / F.nullif(F.col("s.hours"), F.lit(0.0))).otherwise(1.0)
+    here, trusted = F.col("c") == own, F.col("s.trusted")
+    both = lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
     pieces = cells.select(
-        "source", "c", F.lit(0).cast("long").alias("n"),
-        F.when(trusted, F.col("amount") * share).alias("amount"), F.when(trusted, overlap).otherwise(0.0).alias("covered"),
-        F.when(trusted, 0.0).otherwise(overlap).alias("uncovered"), F.when(F.col("c") == cell_of(F.col("b.t")), F.col("reset")).otherwise(0).alias("resets"),
+        "source", "c", F.when(here, F.col("n")).otherwise(0).alias("n"), both(F.when(here, F.col("amount")), F.when(trusted, F.col("s.amount") * share)).alias("amount"),
+        both(F.when(here, F.col("covered")), F.when(trusted, overlap)).alias("covered"), both(F.when(here, F.col("uncovered")), F.when(~trusted, overlap)).alias("uncovered"),
+        (F.when(here, F.coalesce("resets", F.lit(0))).otherwise(0) + F.when(F.col("c") == until, F.col("s.reset")).otherwise(0)).alias("resets"),
     )
-    own = days.select("source", cell_of(F.col("first.t")).alias("c"), "n", F.lit(None).cast("double").alias("amount"), F.lit(0.0).alias("covered"), F.lit(0.0).alias("uncovered"), F.lit(0).cast("long").alias("resets"))
-    out = pieces.unionByName(own).groupBy("source", "c").agg(F.sum("n").alias("n_readings"), F.sum("amount").alias("amount"), F.sum("covered").alias("covered_hours"), F.sum("uncovered").alias("uncovered_hours"), F.sum("resets").alias("resets"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    out = pieces.groupBy("source", "c").agg(F.sum("n").alias("n_readings"), F.sum("amount").alias("amount"), zero("covered").alias("covered_hours"), zero("uncovered").alias("uncovered_hours"), F.sum("resets").alias("resets"))
     status = F.when(F.col("n_readings") > 0, "observed").when(F.col("uncovered_hours") > 0, "uncovered").otherwise("filled")
     start = F.timestamp_seconds(seconds(origin) + F.col("c") * (cell_days * 86400)).cast("timestamp_ntz")
     return out.select("source", start.alias("cell"), "n_readings", "amount", F.try_divide("amount", "covered_hours").alias("mean_rate"), "covered_hours", "uncovered_hours", "resets", status.alias("status"))

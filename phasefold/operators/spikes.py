@@ -99,6 +99,18 @@ def stuck_runs(v: np.ndarray, unit: float, least: int) -> np.ndarray:
     return out
 
 
+def lone_zeros(v: np.ndarray) -> np.ndarray:
+    """Zeros of a source that never runs dry: none of its zeros stands beside another zero or a value under 1 % of its median."""
+    zero = v == 0
+    if not zero.any():
+        return zero
+    low = v < 0.01 * np.median(v)
+    beside = np.zeros(len(v), dtype=bool)
+    beside[1:] |= low[:-1]
+    beside[:-1] |= low[1:]
+    return zero & ~(zero & beside).any()
+
+
 def resumes(y: np.ndarray, a: int, b: int) -> bool:
     """Whether the course steps back after y[a:b] as it stepped away before; a flood recedes by and by."""
     away, back = y[a] - y[a - 1], y[b - 1] - y[b]
@@ -113,9 +125,9 @@ def judge(v: np.ndarray, lim: Limits, c: Chart = Chart()) -> np.ndarray:
     out[bad] = 1
     at = np.flatnonzero(there & ~bad)
     stuck = stuck_runs(v[at], lim.unit, c.stuck_run)
-    use = ~stuck & (v[at] > 0) if lim.log_scale else ~stuck
+    use = ~stuck & ((v[at] > 0) | lone_zeros(v[at])) if lim.log_scale else ~stuck
     pos = at[use]
-    y = np.log(v[pos]) if lim.log_scale else v[pos]
+    y = np.log(np.maximum(v[pos], lim.unit)) if lim.log_scale else v[pos]
     if len(pos) >= 5:
         fore, back = ew_chart(y, lim.floor, c), ew_chart(y[::-1], lim.floor, c)[::-1]
         size = np.minimum(np.abs(fore), np.abs(back))
@@ -130,17 +142,22 @@ def judge(v: np.ndarray, lim: Limits, c: Chart = Chart()) -> np.ndarray:
     return out
 
 
-def flag_readings(df: DataFrame, source: Column, order: Column, record_id: Column, value: Column, limits: Limits, chart: Chart = Chart(), block: int = 65536, pad: int = 512) -> DataFrame:
-    """(record_id, reason) of the implausible readings; reason is 'impossible', 'spike' or 'stuck'.
+def flag_readings(df: DataFrame, source: Column, order: Column, record_id: Column, fields: dict[str, tuple[Column, Limits]], chart: Chart = Chart(), block: int = 65536, pad: int = 512) -> DataFrame:
+    """(field, record_id, reason) of the implausible readings; reason is 'impossible', 'spike' or 'stuck'.
 
-    ``df`` has one row per reading that holds. Null or NaN values are missing:
-    they are never flagged and update nothing. Rows without source, order key or
-    id are left out, since no normal behaviour can be told for them. Ties of the
-    order key go by record_id. ``block`` is counted in order keys. An empty table
-    gives an empty result; other columns of ``df`` are ignored.
+    ``fields`` names each measurement with its value and limits; all are judged
+    in one pass, each by itself. ``df`` has one row per reading that holds. Null
+    or NaN values are missing: they are never flagged and update nothing. Rows
+    without source, order key or id are left out, since no normal behaviour can
+    be told for them. Ties of the order key go by record_id. ``block`` and
+    ``pad`` are counted in order keys, which should rise by about one from a
+    source's reading to its next. An empty table gives an empty result; other
+    columns of ``df`` are ignored.
     """
-    slim = df.select(source.cast("string").alias("source"), order.cast("long").alias("pos"), record_id.cast("long").alias("record_id"), value.cast("double").alias("value"))
-    slim = slim.where("source IS NOT NULL AND pos IS NOT NULL AND record_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    values = {f"v{i}": (name, lim) for i, (name, (_, lim)) in enumerate(fields.items())}
+    slim = df.select(source.cast("string").alias("source"), order.cast("long").alias("pos"), record_id.cast("long").alias("record_id"), *[v.cast("double").alias(f"v{i}") for i, (v, _) in enumerate(fields.values())])
+    there = [f"({v} IS NOT NULL AND NOT isnan({v}))" for v in values]
+    slim = slim.where("source IS NOT NULL AND pos IS NOT NULL AND record_id IS NOT NULL").where(" OR ".join(there))
     own = F.floor(F.col("pos") / block)
     near = F.array_distinct(F.array(own, F.floor((F.col("pos") - pad) / block), F.floor((F.col("pos") + pad) / block)))
     spread = slim.withColumn("block", F.explode(near)).withColumn("own", F.col("block") == own)
@@ -153,11 +170,14 @@ def flag_readings(df: DataFrame, source: Column, order: Column, record_id: Colum
             cols = [t.column(k).combine_chunks() for k in ("source", "block")]
             cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
             starts = np.append(group_starts(cols), t.num_rows)
-            v, own_rows, ids = (t.column(k).to_numpy() for k in ("value", "own", "record_id"))
-            why = np.zeros(t.num_rows, dtype=np.int8)
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                why[a:b] = judge(v[a:b], limits, chart)
-            hit = np.flatnonzero((why > 0) & own_rows.astype(bool))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(names[why[hit]], pa.string())], ["record_id", "reason"])
-
-    return sorted_rows.mapInArrow(run, "record_id long, reason string")
+            own_rows, ids = (t.column(k).to_numpy() for k in ("own", "record_id"))
+            for column, (name, lim) in values.items():
+                v = t.column(column).to_numpy()
+                why = np.zeros(t.num_rows, dtype=np.int8)
+                for a, b in zip(starts[:-1], starts[1:], strict=True):
+                    at = np.flatnonzero(~np.isnan(v[a:b])) + a
+                    why[at] = judge(v[at], lim, chart)
+                hit = np.flatnonzero((why > 0) & own_rows.astype(bool))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(hit), pa.string()), pa.array(ids[hit], pa.int64()), pa.array(names[why[hit]], pa.string())], ["field", "record_id", "reason"])
+
+    return sorted_rows.mapInArrow(run, "field string, record_id long, reason string")

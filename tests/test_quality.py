@@ -41,6 +41,14 @@ def test_impossible_stuck_missing_and_zero():
     assert not got[40:50].any() and got[7] == 0
 
 
+def test_a_zero_is_a_spike_only_where_no_dry_spell_is():
+    v = course(80)
+    v[30] = 0.0
+    assert np.flatnonzero(judge(v, FLOW)).tolist() == [30]
+    v[60:64] = 0.0
+    assert not judge(v, FLOW).any()
+
+
 def test_stuck_runs_need_length_and_stay_within_one_unit():
     assert stuck_runs(np.array([1.0, 1, 1, 1, 1, 2]), 0.1, 6).sum() == 0
     assert stuck_runs(np.zeros(9), 0.1, 6).sum() == 0
@@ -52,16 +60,16 @@ def test_blocks_change_nothing(spark):
     v = course(3000, 3)
     v[[100, 999, 1000, 1500, 2047, 2048]] *= 30
     rows = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(v)], "s string, i long, v double")
-    one, many = ({r[0] for r in flag_readings(rows, F.col("s"), F.col("i"), F.col("i"), F.col("v"), FLOW, block=b, pad=200).collect()} for b in (1 << 20, 1024))
+    one, many = ({r["record_id"] for r in flag_readings(rows, F.col("s"), F.col("i"), F.col("i"), {"v": (F.col("v"), FLOW)}, block=b, pad=200).collect()} for b in (1 << 20, 1024))
     assert one == many >= {100, 1500}
 
 
 def test_flags_with_nulls_empty_and_clashing_columns(spark):
     schema = "s string, i long, v double, reason string, record_id long, block int"
     rows = [("s", i, float(x), "r", 1, 2) for i, x in enumerate(course(40))] + [(None, 1, 5.0, None, None, None), ("s", None, 5.0, None, None, None), ("s", 7, None, None, None, None), ("s", 8, float("nan"), None, None, None), ("t", 9, -1.0, None, None, None)]
-    call = lambda d: flag_readings(d, F.col("s"), F.col("i"), F.col("i"), F.col("v"), FLOW)
+    call = lambda d: flag_readings(d, F.col("s"), F.col("i"), F.col("i"), {"v": (F.col("v"), FLOW), "w": (F.col("block").cast("double"), FLOW)})
     got = call(spark.createDataFrame(rows, schema))
-    assert [tuple(r) for r in got.collect()] == [(9, "impossible")]
+    assert [tuple(r) for r in got.where("field = 'v'").collect()] == [("v", 9, "impossible")] and got.where("field = 'w' AND reason = 'stuck'").count() == 40
     assert call(spark.createDataFrame([], schema)).count() == 0
 
 
