@@ -1,15 +1,19 @@
 """Most similar vectors for every vector, by anisotropic four-bit quantisation.
 
-Euclidean neighbours are found as maximum inner products: with x' = (x, -|x|^2/2)
-and q' = (q, 1) the largest q'.x' is the nearest x. Vectors are put into cells of
-a coarse codebook; within a cell the residual is split into short subvectors and
-each is replaced by one of 16 codewords (four bits). Codewords are chosen by the
-score-aware loss, which weighs the residual error parallel to the vector more
-than the error across it, since only the former moves large inner products. A
-query scans the codes of its nearest cells by table lookups and reranks the best
-exactly. What that finds bounds the distance of the true neighbours: in a second
-step every cell that the bound doesn't exclude is compared exactly, so the result
-is that of brute force.
+Vectors are put into cells of a coarse codebook. Seen from its cell's centre c a
+vector is r = x - c and a query p = q - c, and the nearest x has the largest inner
+product of (p, 1) with (r, -|r|^2/2). The norm is stored as it is; r is split into
+short subvectors, each replaced by one of 16 codewords, two codes a byte. For a
+query near x, p is near r, so an error of the code along r moves large products
+while one across it does not: codewords are chosen, and moved, by the score-aware
+loss that weighs the parallel error more.
+
+A query first scans the codes of its nearest cells by table lookups (one table of
+256 sums a byte) and reranks the best exactly; what it finds bounds the distance
+of its true neighbours. The length of each code's error is stored too, so a code
+tells how near its vector can be at most: whatever the bound doesn't exclude is
+compared exactly, in these cells and then in every cell that the bound doesn't
+exclude as a whole. The result is that of brute force.
 
 Codebooks are fitted on a bounded sample (``FIT_ROWS``); every vector is indexed
 and every vector is a query. Cells are scanned in blocks of at most ``BLOCK``
@@ -26,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasefold.session import materialize, width
+from phasefold.session import materialize
 
 from .skew import join_unique
 
 FIT_ROWS = 40_000
 BLOCK = 4_000
 SCAN = 256  # queries scanned at once
-GROUP = 40_000  # most queries, on average, that a task of the exact step holds
+GROUP = 40_000  # most queries, on average, that a task of the comparison with all vectors holds
 
 
 def nearest_centres(x: np.ndarray, c: np.ndarray, n: int = 1) -> np.ndarray:
@@ -71,98 +75,146 @@ class Codebook:
     words: list[np.ndarray]
     eta: float
 
-    def codes(self, x: np.ndarray, cell: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """Codewords by coordinate descent on |e|^2 + (eta - 1) (e.x/|x|)^2, e the error of the residual."""
+    def codes(self, x: np.ndarray, cell: np.ndarray, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Codewords by coordinate descent on |e|^2 + (eta - 1) (e.r/|r|)^2, and e, the error of r."""
         r = x - self.centres[cell]
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        unit = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
         codes = np.empty((len(x), len(self.cuts)), dtype=np.uint8)
         along = np.zeros(len(x))  # parallel error of all subvectors so far
         part = np.zeros((len(x), len(self.cuts)))
+        err = r.copy()
         for sweep in range(sweeps):
             for m, (a, b) in enumerate(self.cuts):
                 e = r[:, None, a:b] - self.words[m][None]
                 flat = (e * e).sum(2)
                 par = (e * unit[:, None, a:b]).sum(2)
                 rest = along - part[:, m]
-                loss = flat if sweep == 0 and self.eta == 1 else flat + (self.eta - 1) * (rest[:, None] + par) ** 2
-                best = loss.argmin(1)
-                codes[:, m] = best
-                new = par[np.arange(len(x)), best]
-                along += new - part[:, m]
-                part[:, m] = new
-        return codes
-
-
-def fit_codebook(sample: np.ndarray, cells: int, width: int = 2, eta: float = 4.0, seed: int = 11) -> Codebook:
+                best = (flat + (self.eta - 1) * (rest[:, None] + par) ** 2).argmin(1)
+                at = np.arange(len(x)), best
+                codes[:, m], err[:, a:b] = best, e[at]
+                along += par[at] - part[:, m]
+                part[:, m] = par[at]
+        return codes, err
+
+    def pack(self, codes: np.ndarray) -> np.ndarray:
+        """Two codes a byte: the even subvector in the lower half."""
+        if codes.shape[1] % 2:
+            codes = np.column_stack([codes, np.zeros(len(codes), dtype=np.uint8)])
+        return codes[:, ::2] | codes[:, 1::2] << 4
+
+    def tables(self, cell: int, p: np.ndarray) -> list[np.ndarray]:
+        """For each byte the products of each query with its 256 pairs of codewords."""
+        one = [(p[:, a:b] @ w.T).astype(np.float32) for (a, b), w in zip(self.cuts, self.words, strict=True)]
+        one = [np.pad(t, ((0, 0), (0, 16 - t.shape[1]))) for t in one]
+        if len(one) % 2:
+            one.append(np.zeros_like(one[0]))
+        return [(hi[:, :, None] + lo[:, None, :]).reshape(len(p), 256) for lo, hi in zip(one[::2], one[1::2], strict=True)]
+
+
+def fit_codebook(sample: np.ndarray, cells: int, width: int = 3, eta: float = 4.0, seed: int = 11) -> Codebook:
     rng = np.random.default_rng(seed)
     centres = k_means(sample, cells, 6, rng)
-    cell = nearest_centres(sample, centres)[:, 0]
-    r = sample - centres[cell]
+    few = rng.choice(len(sample), size=min(len(sample), 10_000), replace=False)
+    x = sample[few]
+    cell = nearest_centres(x, centres)[:, 0]
+    r = x - centres[cell]
     cuts = [(a, min(a + width, sample.shape[1])) for a in range(0, sample.shape[1], width)]
-    few = rng.choice(len(r), size=min(len(r), 10_000), replace=False)
-    book = Codebook(centres, cuts, [k_means(r[few][:, a:b], 16, 6, rng) for a, b in cuts], eta)
-    for _ in range(2):  # codewords move to the mean of the residuals that the score-aware loss gave them
-        codes = book.codes(sample[few], cell[few])
+    book = Codebook(centres, cuts, [k_means(r[:, a:b], 16, 6, rng) for a, b in cuts], eta)
+    unit = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
+    for _ in range(3):  # codewords move to where the loss of the vectors they stand for is least
+        codes, err = book.codes(x, cell)
         for m, (a, b) in enumerate(cuts):
+            u, t = unit[:, a:b], r[:, a:b]
+            rest = (err * unit).sum(1) - (err[:, a:b] * u).sum(1)
             for w in range(len(book.words[m])):
-                mine = codes[:, m] == w
-                if mine.any():
-                    book.words[m][w] = r[few][mine, a:b].mean(0)
+                i = np.flatnonzero(codes[:, m] == w)
+                if len(i):
+                    left = len(i) * np.eye(b - a) + (eta - 1) * u[i].T @ u[i]
+                    right = t[i].sum(0) + (eta - 1) * (u[i] * (rest[i] + (u[i] * t[i]).sum(1))[:, None]).sum(0)
+                    book.words[m][w] = np.linalg.solve(left, right)
+            codes, err = book.codes(x, cell, 1)
     return book
 
 
-def scan(book: Codebook, cell: int, codes: np.ndarray, x: np.ndarray, q: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index, squared distance) of the best ``keep`` of a block for each query: code scan, then exact distances."""
-    n = len(x)
-    keep = min(keep, n)
-    if keep < n:
-        # q'.x' of the quantised vectors, by one table of 16 products per subvector
-        approx = np.zeros((len(q), n), dtype=np.float32)
-        c = book.centres[cell]
-        half = np.zeros(n, dtype=np.float32)
-        for m, (a, b) in enumerate(book.cuts):
-            words = c[a:b] + book.words[m]
-            approx += (q[:, a:b] @ words.T).astype(np.float32)[:, codes[:, m]]
-            half += ((words * words).sum(1) / 2).astype(np.float32)[codes[:, m]]
-        approx -= half
-        at = np.argpartition(-approx, keep - 1, axis=1)[:, :keep]
-    else:
-        at = np.tile(np.arange(n), (len(q), 1))
-    d = x[at] - q[:, None, :]
-    return at, (d * d).sum(2)
+class Block:
+    """One block of a cell: ids, vectors, packed codes and the lengths of the codes' errors."""
+
+    def __init__(self, book: Codebook, cell: int, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, err: np.ndarray):
+        self.book, self.cell, self.ids, self.x = book, cell, ids, x
+        self.bytes = [packed[:, j].astype(np.intp) for j in range(packed.shape[1])]
+        r = x - book.centres[cell]
+        self.norm = (r * r).sum(1).astype(np.float32)
+        self.err = err
+        # |r - e|^2 from the words themselves: what the codes stand for
+        self.size = np.zeros(len(x), dtype=np.float32)
+        for m, w in enumerate(book.words):
+            of = packed[:, m // 2] >> 4 if m % 2 else packed[:, m // 2] & 15
+            self.size += ((w * w).sum(1).astype(np.float32))[of]
+
+    def scan(self, p: np.ndarray) -> np.ndarray:
+        """Products of each query (from the centre) with what the codes stand for."""
+        out = np.zeros((len(p), len(self.ids)), dtype=np.float32)
+        for t, at in zip(self.book.tables(self.cell, p), self.bytes, strict=True):
+            out += np.take(t, at, axis=1)
+        return out
+
+    def search(self, q: np.ndarray, own: np.ndarray, limit: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, distance) of up to k vectors within each query's limit, exactly those nearest."""
+        p = q - self.book.centres[self.cell]
+        product = self.scan(p)
+        limit = limit.copy()
+        if rerank < len(self.ids):  # the best by their scores tighten the limits
+            at = np.argpartition(self.norm / 2 - product, rerank - 1, axis=1)[:, :rerank]
+            d = self.x[at] - q[:, None]
+            d = np.sqrt((d * d).sum(2))
+            d[self.ids[at] == own[:, None]] = np.inf
+            limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] if rerank >= k else np.inf)
+        # the distance is at least that from the code's vector less its error; float32 sums get some room
+        square = (p * p).sum(1)
+        room = 1e-5 * (square[:, None] + self.size)
+        near = np.sqrt(np.maximum(square[:, None] - 2 * product + self.size - room, 0))
+        i, j = np.nonzero(near - self.err <= limit[:, None] * (1 + 1e-9))
+        d = np.sqrt(((self.x[j] - q[i]) ** 2).sum(1))
+        ok = (self.ids[j] != own[i]) & (d <= limit[i])
+        i, j, d = i[ok], j[ok], d[ok]
+        order = np.lexsort((self.ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[top], j[top], d[top]
+
+
+def wanted_cells(q: np.ndarray, near: np.ndarray, limit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Whether each cell may hold something within a query's limit.
+
+    A vector of the cell lies on the cell's side of the plane midway to any other
+    centre, and the query's distance from that plane bounds its distance.
+    """
+    half = (centres * centres).sum(1)
+    norm = (q * q).sum(1)
+    to = norm[:, None] - 2 * q @ centres.T + half
+    keep = np.ones(to.shape, dtype=bool)
+    for m in range(near.shape[1]):
+        own = near[:, m]
+        gap = np.sqrt(np.maximum(half[own][:, None] + half - 2 * centres[own] @ centres.T, 0))
+        keep &= to - to[np.arange(len(q)), own][:, None] <= 2 * gap * limit[:, None] + 1e-9 * (to + norm[:, None])
+    return keep
 
 
 class Nearest:
     """The k nearest of every query among the cells shown to it, exactly.
 
-    ``near`` holds each query's nearest cells, nearest first, and ``limit`` a distance
-    beyond which nothing is wanted. Ties go by the smaller id.
+    ``want`` says which cells may hold something for each query and ``limit`` a
+    distance beyond which nothing is wanted. Ties go by the smaller id.
     """
 
-    def __init__(self, q: np.ndarray, ids: np.ndarray, near: np.ndarray, limit: np.ndarray, centres: np.ndarray, k: int):
-        self.q, self.ids, self.near, self.limit, self.centres, self.k = q, ids, near, limit.copy(), centres, k
-        self.to_near = ((q[:, None] - centres[near]) ** 2).sum(2)
+    def __init__(self, q: np.ndarray, ids: np.ndarray, want: np.ndarray, limit: np.ndarray, k: int):
+        self.q, self.ids, self.want, self.limit, self.k = q, ids, want, limit.copy(), k
         self.norm = (q * q).sum(1)
         self.d = np.full((len(q), k), np.inf)
         self.other = np.zeros((len(q), k), dtype=np.int64)
 
-    def wanting(self, cell: int) -> np.ndarray:
-        """Queries for which the cell may hold something within their limit.
-
-        A vector of the cell lies on the cell's side of the plane midway to any other
-        centre, and the query's distance from that plane bounds its distance.
-        """
-        c = self.centres[cell]
-        apart = np.sqrt(((self.centres - c) ** 2).sum(1))
-        to_c = ((self.q - c) ** 2).sum(1)
-        keep = np.ones(len(self.q), dtype=bool)
-        for m in range(self.near.shape[1]):
-            gap = apart[self.near[:, m]]
-            keep &= to_c - self.to_near[:, m] <= 2 * gap * self.limit + 1e-9 * (to_c + self.norm)
-        return np.flatnonzero(keep)
-
     def look(self, cell: int, ids: np.ndarray, x: np.ndarray) -> None:
-        want = self.wanting(cell)
+        want = np.flatnonzero(self.want[:, cell])
         norm = (x * x).sum(1)
         for a in range(0, len(want), 2048):
             w = want[a : a + 2048]
@@ -185,7 +237,7 @@ class Nearest:
         self.limit[hit] = np.minimum(self.limit[hit], self.d[hit, self.k - 1])
 
 
-def similar(df: DataFrame, row_id: str, vector: Column, dims: int, k: int = 5, probes: int = 10, rerank: int = 32, per_cell: int = 400, most_cells: int = 8192, within: float = float("inf")) -> DataFrame:
+def similar(df: DataFrame, row_id: str, vector: Column, dims: int, k: int = 5, probes: int = 3, rerank: int = 32, per_cell: int = 400, most_cells: int = 8192, within: float = float("inf")) -> DataFrame:
     """(id, other, rank, distance): the k nearest other rows of every row, ties by the smaller id.
 
     ``vector`` is an ARRAY<DOUBLE>; rows with a null id, a null array, another
@@ -212,69 +264,101 @@ def similar(df: DataFrame, row_id: str, vector: Column, dims: int, k: int = 5, p
     sample = np.array(drawn.to_pylist() or reps.select("v").first()[0], dtype=float).reshape(-1, dims)
     book = fit_codebook(sample, max(1, min(most_cells, total // per_cell, len(sample) // 8)))
     shared = spark.sparkContext.broadcast(book)  # at most most_cells x dims numbers and the codewords
+    probes = min(probes, len(book.centres))
 
     def matrix(b: pa.RecordBatch) -> np.ndarray:
         return b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dims)
 
+    def lists(b: pa.RecordBatch, name: str) -> np.ndarray:
+        return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bk = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            near = nearest_centres(matrix(b), bk.centres, probes)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("v"), pa.array(list(near), pa.list_(pa.int64()))], ["rep", "v", "near"])
-
-    placed = materialize(reps.mapInArrow(place, "rep long, v array<double>, near array<long>").withColumn("cell", F.col("near")[0]))
+            x = matrix(b)
+            near = nearest_centres(x, bk.centres, probes)
+            codes, e = bk.codes(x, near[:, 0])
+            err = (np.sqrt((e * e).sum(1)) * (1 + 1e-6) + 1e-12).astype(float)
+            packed = [c.tobytes() for c in bk.pack(codes)]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("v"), pa.array(list(near), pa.list_(pa.int64())), pa.array(packed, pa.binary()), pa.array(err)], ["rep", "v", "near", "code", "err"])
+
+    placed = materialize(reps.select("rep", "v").mapInArrow(place, "rep long, v array<double>, near array<long>, code binary, err double").withColumn("cell", F.col("near")[0]))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))  # at most most_cells rows
-    base = placed.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("role"), "rep", "v")
-    asked = placed.select("rep", "v", F.explode("near").alias("cell")).join(F.broadcast(sizes), "cell")
-    asked = asked.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", "v")
-    both = base.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "rep")
+    base = placed.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("role"), "rep", "v", "code", "err")
+
+    def ask(queries: DataFrame) -> DataFrame:
+        """(rep, near_rep, distance) from the cells that (rep, v, cell, limit) names: k of each block at most."""
+        asked = queries.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", "v", F.lit(None).cast("binary").alias("code"), F.col("limit").alias("err"))
+        return base.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "rep").mapInArrow(search, "rep long, near_rep long, distance double")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bk = shared.value
-        at_key, ids, xs, held, codes, x = None, [], [], None, None, None
+        at_key, held, block = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            cell, block, role, rep = (b.column(c).to_numpy() for c in ("cell", "block", "role", "rep"))
+            cell, number, role, rep, err = (b.column(c).to_numpy() for c in ("cell", "block", "role", "rep", "err"))
             v = matrix(b)
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(number) != 0) | (np.diff(role) != 0)) + 1
             for a, z in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                key = (cell[a], block[a])
+                key = (cell[a], number[a])
                 if key != at_key:
-                    at_key, ids, xs, codes = key, [], [], None
+                    at_key, held, block = key, [], None
                 if role[a] == 0:
-                    ids.append(rep[a:z])
-                    xs.append(v[a:z])
+                    packed = np.frombuffer(b"".join(b.column("code").slice(a, z - a).to_pylist()), dtype=np.uint8).reshape(z - a, -1)
+                    held.append((rep[a:z], v[a:z], packed, err[a:z]))
                     continue
-                if not ids:
+                if block is None and held:
+                    block, held = Block(bk, int(cell[a]), *map(np.concatenate, zip(*held, strict=True))), []
+                if block is None:
                     continue
-                if codes is None:
-                    held, x = np.concatenate(ids), np.concatenate(xs)
-                    codes = bk.codes(x, np.full(len(x), cell[a]))
                 for s in range(a, z, SCAN):
                     e = min(z, s + SCAN)
-                    at, d = scan(bk, int(cell[a]), codes, x, v[s:e], rerank)
-                    other = held[at]
-                    d = np.where(other == rep[s:e, None], np.inf, d)
-                    order = np.lexsort((other, d), axis=1)[:, :k]
-                    other, d = np.take_along_axis(other, order, 1), np.take_along_axis(d, order, 1)
-                    q = np.repeat(rep[s:e], other.shape[1])
-                    ok = np.isfinite(d.ravel())
-                    yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(other.ravel()[ok]), pa.array(np.sqrt(d.ravel()[ok]))], ["rep", "near_rep", "distance"])
-
-    found = both.mapInArrow(search, "rep long, near_rep long, distance double")
-    best = found.groupBy("rep").agg(F.collect_list(F.struct("distance", F.col("near_rep").alias("rep"))).alias("all"))  # k of each block looked at
-    first = best.select("rep", F.slice(F.array_sort("all"), 1, k).alias("found"))
-    bound = F.when(F.size("found") >= k, F.least(F.element_at("found", k)["distance"], F.lit(within))).otherwise(F.lit(within))
-    groups = max(width(spark), -(-total // GROUP))
-    queries = placed.join(first, "rep", "left").select(F.pmod(F.xxhash64("rep"), F.lit(groups)).alias("g"), F.lit(0).alias("role"), "cell", "rep", "v", "near", bound.alias("limit"))
-    shown = placed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(1).alias("role"), "cell", "rep", "v", F.lit(None).cast("array<long>").alias("near"), F.lit(None).cast("double").alias("limit"))
+                    i, j, d = block.search(v[s:e], rep[s:e], err[s:e], k, rerank)
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[s:e][i]), pa.array(block.ids[j]), pa.array(d)], ["rep", "near_rep", "distance"])
+
+    def nearest(found: DataFrame) -> DataFrame:
+        best = found.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("distance", F.col("near_rep").alias("rep")))).alias("all"))  # k of each block looked at
+        return best.select("rep", F.slice("all", 1, k).alias("near"))
+
+    first = materialize(nearest(ask(placed.select("rep", "v", F.explode("near").alias("cell"), F.lit(float(within)).alias("limit")))))
+    bound = F.when(F.size("found") >= k, F.least(F.element_at("found", k)["distance"], F.lit(float(within)))).otherwise(F.lit(float(within)))
+    known = placed.join(first.withColumnRenamed("near", "found"), "rep", "left").select("rep", "v", "near", bound.alias("limit"))
+
+    def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bk = shared.value
+        for b in batches:
+            if b.num_rows:
+                near = lists(b, "near")
+                want = wanted_cells(matrix(b), near, b.column("limit").to_numpy(), bk.centres)
+                np.put_along_axis(want, near, False, axis=1)  # settled already
+                cells = pa.array([np.flatnonzero(w) for w in want], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("v"), b.column("limit"), cells], ["rep", "v", "limit", "cells"])
+
+    opened = materialize(known.mapInArrow(open_cells, "rep long, v array<double>, limit double, cells array<long>"))
+    visits = opened.agg(F.sum(F.size("cells"))).first()[0] or 0
+    groups = max(spark.sparkContext.defaultParallelism, -(-total // GROUP))
+    if visits <= groups * total:  # fewer rows to shuffle than by showing all vectors to every task
+        more = ask(opened.select("rep", "v", F.explode("cells").alias("cell"), "limit"))
+    else:
+        more = _all_pairs(opened, placed, groups, len(book.centres), dims, k)
+    old = first.select("rep", F.explode("near").alias("s")).select("rep", F.col("s.rep").alias("near_rep"), "s.distance")
+    best = nearest(old.unionByName(more))
+    if reps.where("n > 1").isEmpty():
+        out = best.select(F.col("rep").alias("id"), F.posexplode("near").alias("p", "s"))
+        return out.select("id", F.col("s.rep").alias("other"), (F.col("p") + 1).alias("rank"), F.col("s.distance").alias("distance"))
+    return _with_copies(rows, reps, materialize(best), k)
+
+
+def _all_pairs(opened: DataFrame, placed: DataFrame, groups: int, cells: int, dims: int, k: int) -> DataFrame:
+    """(rep, near_rep, distance) where distances exclude few cells: each task holds some queries and is shown all vectors."""
+    queries = opened.select(F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("long").alias("g"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("cell"), "rep", "v", "limit", "cells")
+    shown = placed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(1).alias("role"), "cell", "rep", "v", F.lit(None).cast("double").alias("limit"), F.lit(None).cast("array<long>").alias("cells"))
     task = queries.unionByName(shown).repartition(groups, "g").sortWithinPartitions("g", "role", "cell", "rep")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bk = shared.value
         g_now, held, known = None, [], None
 
         def answers() -> Iterator[pa.RecordBatch]:
@@ -286,29 +370,26 @@ def similar(df: DataFrame, row_id: str, vector: Column, dims: int, k: int = 5, p
             if not b.num_rows:
                 continue
             g, role, cell, rep = (b.column(c).to_numpy() for c in ("g", "role", "cell", "rep"))
-            v = matrix(b)
+            v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dims)
             cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(role) != 0) | ((np.diff(cell) != 0) & (role[1:] == 1))) + 1
             for a, z in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
                 if g[a] != g_now:
                     yield from answers()
                     g_now, held, known = g[a], [], None
                 if role[a] == 0:
-                    near = b.column("near").slice(a, z - a).flatten().to_numpy(zero_copy_only=False).reshape(z - a, -1)
-                    held.append((v[a:z], rep[a:z], near, b.column("limit").slice(a, z - a).to_numpy(zero_copy_only=False)))
+                    want = np.zeros((z - a, cells), dtype=bool)
+                    some = b.column("cells").slice(a, z - a)
+                    size = some.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    want[np.repeat(np.arange(z - a), size), some.flatten().to_numpy(zero_copy_only=False)] = True
+                    held.append((v[a:z], rep[a:z], want, b.column("limit").slice(a, z - a).to_numpy(zero_copy_only=False)))
                     continue
                 if known is None and held:
-                    known = Nearest(*map(np.concatenate, zip(*held, strict=True)), bk.centres, k)
-                    held = []
+                    known, held = Nearest(*map(np.concatenate, zip(*held, strict=True)), k), []
                 if known is not None:
                     known.look(int(cell[a]), rep[a:z], v[a:z])
         yield from answers()
 
-    exact = task.mapInArrow(settle, "rep long, near_rep long, distance double")
-    best = exact.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("distance", F.col("near_rep").alias("rep")))).alias("near"))
-    if reps.where("n > 1").isEmpty():
-        out = best.select(F.col("rep").alias("id"), F.posexplode("near").alias("p", "s"))
-        return out.select("id", F.col("s.rep").alias("other"), (F.col("p") + 1).alias("rank"), F.col("s.distance").alias("distance"))
-    return _with_copies(rows, reps, materialize(best), k)
+    return task.mapInArrow(settle, "rep long, near_rep long, distance double")
 
 
 def _with_copies(rows: DataFrame, reps: DataFrame, best: DataFrame, k: int) -> DataFrame:

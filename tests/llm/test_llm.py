@@ -153,9 +153,12 @@ def test_score_aware_codes_prefer_small_parallel_error():
     for eta in (1.0, 8.0):
         book = vectors.fit_codebook(x, 4, eta=eta)
         cell = vectors.nearest_centres(x, book.centres)[:, 0]
-        c = book.codes(x, cell)
-        e = x - book.centres[cell] - np.concatenate([book.words[m][c[:, m]] for m in range(len(book.cuts))], axis=1)
-        err[eta] = ((e * x).sum(1) / np.linalg.norm(x, axis=1)).std()
+        c, e = book.codes(x, cell)
+        r = x - book.centres[cell]
+        assert np.allclose(e, r - np.concatenate([book.words[m][c[:, m]] for m in range(len(book.cuts))], axis=1))
+        err[eta] = ((e * r).sum(1) / np.linalg.norm(r, axis=1)).std()
+        block = vectors.Block(book, 0, np.arange(len(x)), x, book.pack(c), np.linalg.norm(e, axis=1))
+        assert np.allclose(block.scan(x[:50] - book.centres[0]), (x[:50] - book.centres[0]) @ (r - e).T, atol=1e-4)
     assert err[8.0] < err[1.0]
 
 
