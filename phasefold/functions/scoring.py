@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_PAIRS = 5
@@ -59,11 +59,30 @@ def rmse(y: Column, p: Column) -> Column:
     return _scored(y, p, F.sqrt(F.avg(F.when(_both(y, p), (y - p) * (y - p)))))
 
 
-METRICS: dict[str, Callable[[Column, Column], Column]] = {"correlation": correlation_or_zero, "MAE": max_absolute_error, "CAE": sum_absolute_error, "RMSE": rmse, "R2": r2}
+def plain_correlation(y: Column, p: Column) -> Column:
+    """Correlation of the finite pairs, however few; null for a constant side."""
+    a, b = F.when(_both(y, p), y), F.when(_both(y, p), p)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0)))
+
+
+METRICS: dict[str, Callable[[Column, Column], Column]] = {"correlation": correlation_or_zero, "MAE": max_absolute_error, "CAE": sum_absolute_error, "RMSE": rmse, "R2": r2, "r2": r2, "plain": plain_correlation, "clamped": clamped_correlation}
 
 
-def metric(name: str) -> Callable[[Column, Column], Column]:
-    """Score by name; 'MAE' is the largest and 'CAE' the summed absolute error."""
+#: The name of a metric or the user's own: a function of the actual and the predicted column.
+Metric = str | Callable[[Column, Column], Column]
+
+
+def metric(name: Metric) -> Callable[[Column, Column], Column]:
+    """Score by name; 'MAE' is the largest and 'CAE' the summed absolute error. A function is taken as it is."""
+    if callable(name):
+        return name
     if name not in METRICS:
         raise ValueError(f"unknown metric {name!r}; one of {sorted(METRICS)}")
     return METRICS[name]
+
+
+def skill_by(rows: DataFrame, keys: list[str], by: Metric = "plain", strict: bool = False) -> DataFrame:
+    """(keys, skill) of rows with pred and actual; ``strict``: null where any prediction is."""
+    value = metric(by)(F.col("actual"), F.col("pred"))
+    return rows.groupBy(*keys).agg((F.when(F.count("pred") == F.count("*"), value) if strict else value).alias("skill"))

@@ -58,7 +58,7 @@ def library(series: DataFrame, x: list[str], y: list[str], dimensions: int = 1,
     there = F.lead("pos", horizon).over(in_run()) if horizon else F.col("pos")
     targets = F.array(*[F.lead(finite(F.col(q(c)).cast("double")), horizon).over(in_run()) if horizon else finite(F.col(q(c)).cast("double")) for c in y])
     rows = series.select("run_id", "pos", state_column(x, dimensions, step).alias("state"), targets.alias("y"), there.alias("__to"), (F.col(q(mask)) if mask else F.lit(True)).alias("__in"))
-    return rows.where(F.col("__to").isNotNull() & F.col("__in") & _complete()).select("run_id", "pos", "state", "y")
+    return rows.where(F.col("__to").isNotNull() & F.col("__in").cast("boolean") & _complete()).select("run_id", "pos", "state", "y")
 
 
 def query(series: DataFrame, x: list[str], dimensions: int = 1, step: int = -1, horizon: int = 1) -> DataFrame:

@@ -1,13 +1,9 @@
-"""Numpy kernels that run inside Arrow tasks once a parameter grid is spread over the cluster."""
+"""Numpy kernels: weighted averages and weighted linear maps over neighbours, and closed-loop states."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 
-Runs = list[np.ndarray]
-
 
 def lag_stack(x: np.ndarray, dimensions: int, step: int) -> np.ndarray:
     """Rows of lags grouped by column; NaN where a lag leaves the run."""
@@ -20,93 +16,13 @@ def lag_stack(x: np.ndarray, dimensions: int, step: int) -> np.ndarray:
     return out
 
 
-@dataclass
-class Problem:
-    """Training states S with targets Y, test states Q with truth T and where they are."""
-
-    S: np.ndarray
-    Y: np.ndarray
-    s_run: np.ndarray
-    s_pos: np.ndarray
-    Q: np.ndarray
-    T: np.ndarray
-    q_run: np.ndarray
-    q_pos: np.ndarray
-    out: np.ndarray
-    inside: bool
-    radius: int = 0
-
-    def excluded(self, at: np.ndarray | None = None) -> np.ndarray:
-        r, p = (self.s_run, self.s_pos) if at is None else (self.s_run[at], self.s_pos[at])
-        if not self.inside:
-            return np.zeros((len(self.Q), len(r)), dtype=bool)
-        return (self.q_run[:, None] == r[None]) & (np.abs(self.q_pos[:, None] - p[None]) <= self.radius)
-
-
-def prepare(x: Runs, y: Runs, dimensions: int, step: int, horizon: int, mask: list[np.ndarray] | None = None, x_test: Runs | None = None, y_test: Runs | None = None, radius: int = 0) -> Problem:
-    if radius and x_test is not None:
-        raise ValueError("an exclusion radius needs predictions of the training runs")
-    s, t, sr, sp = [], [], [], []
-    for i, (a, b) in enumerate(zip(x, y, strict=True)):
-        st, n = lag_stack(a, dimensions, step), len(a)
-        to = np.arange(n) + horizon
-        ok = np.isfinite(st).all(1) & (to >= 0) & (to < n)
-        if mask is not None:
-            ok &= mask[i]
-        s.append(st[ok])
-        t.append(b[to[ok]])
-        sr.append(np.full(ok.sum(), i))
-        sp.append(np.flatnonzero(ok))
-    q, u, qr, qp, o = [], [], [], [], []
-    for i, (a, b) in enumerate(zip(x_test if x_test is not None else x, y_test if x_test is not None else y, strict=True)):
-        st, n = lag_stack(a, dimensions, step), len(a)
-        to = np.arange(n) + horizon
-        ok = np.isfinite(st).all(1) & (to >= 0) & (to < n)
-        q.append(st[ok])
-        u.append(b[to[ok]])
-        qr.append(np.full(ok.sum(), i))
-        qp.append(np.flatnonzero(ok))
-        o.append(to[ok])
-    c = np.concatenate
-    p = Problem(c(s), c(t), c(sr), c(sp), c(q), c(u), c(qr), c(qp), c(o), x_test is None, radius)
-    if not len(p.S) or not len(p.Q):
-        raise ValueError("no complete training or test state")
-    return p
-
-
-def squared(S: np.ndarray, Q: np.ndarray) -> np.ndarray:
-    """Squared distances [queries, library], summed column by column."""
-    d = np.zeros((len(Q), len(S)))
-    for j in range(S.shape[1]):
-        d += (Q[:, j, None] - S[None, :, j]) ** 2
-    return d
-
-
-def order(d: np.ndarray, k: int, p: Problem, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(index, distance) of the k nearest, ties by time gap (in-sample) then by position."""
-    r, pos = (p.s_run, p.s_pos) if at is None else (p.s_run[at], p.s_pos[at])
-    k = min(k, d.shape[1])
-    idx = np.empty((len(d), k), dtype=np.int64)
-    for i, row in enumerate(d):
-        # candidates: all up to the k-th distance, so ties at the edge stay in
-        edge = np.partition(row, k - 1)[k - 1]
-        c = np.flatnonzero(row <= edge)
-        if p.inside:
-            gap = np.where(r[c] == p.q_run[i], np.abs(pos[c] - p.q_pos[i]), 1 << 40)
-            c = c[np.lexsort((c, gap, row[c]))]
-        else:
-            c = c[np.argsort(row[c], kind="stable")]
-        idx[i] = c[:k]
-    return idx, np.take_along_axis(d, idx, 1)
-
-
 def simplex_fit(d: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prediction and variance from distances [q, k] and targets [q, k, t]; infinite distances weigh nothing."""
     least = np.maximum(d.min(1, keepdims=True), 1e-6)
-    w = np.where(np.isfinite(d), np.exp(-d / least), 0.0)[..., None]
-    y = np.where(w > 0, y, 0.0)
-    total = w.sum(1)
     with np.errstate(invalid="ignore", divide="ignore"):
+        w = np.where(np.isfinite(d), np.exp(-d / least), 0.0)[..., None]
+        y = np.where(w > 0, y, 0.0)
+        total = w.sum(1)
         p = (w * y).sum(1) / total
         return p, (w * (y - p[:, None]) ** 2).sum(1) / total
 
@@ -128,21 +44,3 @@ def smap_fit(d: np.ndarray, S: np.ndarray, y: np.ndarray, q: np.ndarray, theta:
         sv[j, : len(s)] = s
         var[j] = (wj * (yj - pred[j]) ** 2).sum() / wj.sum()
     return pred, var, coef, sv
-
-
-def correlate(a: np.ndarray, b: np.ndarray, least: int = 1) -> float:
-    ok = np.isfinite(a) & np.isfinite(b)
-    a, b = a[ok], b[ok]
-    if len(a) < least:
-        return float("nan")
-    a, b = a - a.mean(), b - b.mean()
-    den = np.sqrt((a * a).sum() * (b * b).sum())
-    return float((a * b).sum() / den) if den > 0 else float("nan")
-
-
-def predict(p: Problem, k: int = 0, d2: np.ndarray | None = None) -> np.ndarray:
-    """Simplex predictions [q, t] of a prepared problem."""
-    d = np.sqrt(squared(p.S, p.Q) if d2 is None else d2)
-    d = np.where(p.excluded(), np.inf, d)
-    idx, near = order(d, k or p.S.shape[1] + 1, p)
-    return simplex_fit(near, p.Y[idx])[0]

@@ -2,60 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import isqrt
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasefold.plans.grid import over_grid, run_ids, to_runs
+from phasefold.functions.scoring import plain_correlation
+from phasefold.plans.blocks import Problem, frames, over_blocks
 
 from . import kernels as K
+from .smap import on_spine
 
 
 def views(n: int, size: int) -> list[tuple[int, ...]]:
     return list(combinations(range(n), min(size, n)))
 
 
+def view_predictions(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None, combos: list[tuple[int, ...]], dimensions: int, step: int, horizon: int, k: int, radius: int, rated: bool) -> DataFrame:
+    """(view, run_id, pos, target, pred, actual) of every view; ``rated``: of the first target only."""
+    lib, qry = frames(train, x, y, test, dimensions, step, (horizon,))
+
+    def work(p: Problem) -> Iterator[tuple]:
+        for at in p.parts():
+            each: dict[int, np.ndarray] = {}
+            for view, combo in enumerate(combos):
+                for c in combo:
+                    if c not in each:
+                        each[c] = p.squared(at, c)
+                idx, near = p.nearest(at, np.sqrt(p.shut(at, sum(each[c] for c in combo))), k or len(combo) + 1)
+                pred = K.simplex_fit(near, p.Y[idx])[0]
+                n = len(pred)
+                for j, t in enumerate(y[:1] if rated else y):
+                    yield [view] * n, p.q_run[at], p.q_pos[at] + horizon, [t] * n, pred[:, j], p.T[at][:, j]
+
+    return over_blocks(lib, qry, work, "view int, run_id long, pos long, target string, pred double, actual double", test is None, radius)
+
+
 def multiview(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None = None, dimensions: int = 1, step: int = -1, horizon: int = 1, k: int = 0, radius: int = 0, view_size: int = 0, top: int = 0, rank_inside: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(predictions, views): (run_id, pos, target, pred) and (rank, combo, corr, max_ae, sum_ae, rmse).
+    """(predictions, views): (run_id, pos, target, pred) of every row and (rank, combo, corr, max_ae, sum_ae, rmse).
 
     Views rank by the first target's correlation, in the training runs or out of
     sample; ties go by the combination. A view without a prediction at a row
-    leaves the mean there null.
+    leaves the mean there null, as do rows that can't be predicted.
     """
-    n = len(x)
-    cut = lambda runs: ([r[:, :n] for r in runs], [r[:, n:] for r in runs])
-    a, b = cut(to_runs(train, x + y))
-    c, d = cut(to_runs(test, x + y)) if test is not None else (None, None)
-    combos = views(n * dimensions, view_size or n)
-    s = {"p": K.prepare(a, b, dimensions, step, horizon, None, c, d, radius), "in": K.prepare(a, b, dimensions, step, horizon, radius=radius) if rank_inside and test is not None else None, "combos": combos, "k": k, "y": y}
-
-    def select(p: K.Problem, cols: list[int]) -> K.Problem:
-        return K.Problem(p.S[:, cols], p.Y, p.s_run, p.s_pos, p.Q[:, cols], p.T, p.q_run, p.q_pos, p.out, p.inside, p.radius)
-
-    def rate(s: dict, r: dict) -> list[tuple]:
-        combo = list(s["combos"][int(r["i"])])
-        p = select(s["in"] or s["p"], combo)
-        t, got = p.T[:, 0], K.predict(p, s["k"])[:, 0]
-        ok = np.isfinite(t) & np.isfinite(got)
-        e = np.abs(t - got)[ok]
-        return [(int(r["i"]), combo, K.correlate(t, got), float(e.max(initial=0)), float(e.sum()), float(np.sqrt((e * e).mean())) if len(e) else float("nan"))]
-
+    combos = views(len(x) * dimensions, view_size or len(x))
+    rated = view_predictions(train, x, y, None if rank_inside else test, combos, dimensions, step, horizon, k, radius, True)
+    a, p = F.col("actual"), F.col("pred")
+    e = F.when(a.isNotNull() & p.isNotNull(), F.abs(a - p))
+    table = rated.groupBy("view").agg(plain_correlation(a, p).alias("corr"), F.max(e).alias("max_ae"), F.sum(e).alias("sum_ae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    most = min(len(combos), top or max(1, isqrt(len(combos))))
+    best = table.orderBy(F.desc_nulls_last("corr"), "view").limit(most).collect()  # as many as there are views kept
     spark = train.sparkSession
-    rated = over_grid(spark, pd.DataFrame({"i": range(len(combos))}), s, rate, "i int, combo array<int>, corr double, max_ae double, sum_ae double, rmse double")
-    w = Window.orderBy(F.desc_nulls_last("corr"), "combo")
-    ranked = rated.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(len(combos), top or max(1, isqrt(len(combos)))))
-    best = [r["i"] for r in ranked.select("i").orderBy("rank").collect()]
-    ids = run_ids(test if test is not None else train)
-
-    def give(s: dict, r: dict) -> list[tuple]:
-        p = select(s["p"], list(s["combos"][int(r["i"])]))
-        got = K.predict(p, s["k"])
-        return [(ids[p.q_run[i]], int(p.out[i]), t, float(got[i, j])) for i in range(len(got)) for j, t in enumerate(s["y"])]
-
-    each = over_grid(spark, pd.DataFrame({"i": best}), s, give, "run_id long, pos long, target string, pred double")
+    ranked = spark.createDataFrame([(i + 1, list(combos[r["view"]]), r["corr"], r["max_ae"], r["sum_ae"], r["rmse"]) for i, r in enumerate(best)], "rank int, combo array<int>, corr double, max_ae double, sum_ae double, rmse double")
+    each = view_predictions(train, x, y, test, [combos[r["view"]] for r in best], dimensions, step, horizon, k, radius, False)
     mean = each.groupBy("run_id", "pos", "target").agg(F.when(F.count("pred") == len(best), F.avg("pred")).alias("pred"))
-    return mean, ranked.select("rank", "combo", "corr", "max_ae", "sum_ae", "rmse")
+    return on_spine(mean, train if test is None else test, y), ranked

@@ -1,54 +1,64 @@
 """Nearest training states of every test state.
 
-The library is broadcast while it is small (its rows are counted). A larger one
-is cut into blocks by a hash; every query meets every block in an equi-join on
-the block, keeps its k best of each block and then of all blocks.
+Each test state is compared with every training state, by definition. A small
+library (its rows are counted) is broadcast and the comparison is a join in the
+JVM. A larger one is cut into blocks by a hash, the queries into groups; a task
+compares one group with one block by numpy and keeps k best, which are ranked
+once more over all blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasefold.plans.blocks import Problem, over_blocks
+
 BROADCAST_ROWS = 50_000
+BLOCK_ROWS = 500_000  # training states of a block
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
 
 
-def neighbors(lib: DataFrame, qry: DataFrame, k: int, in_sample: bool = False, radius: int = 0, block: int = BROADCAST_ROWS) -> DataFrame:
+def neighbors(lib: DataFrame, qry: DataFrame, k: int, in_sample: bool = False, radius: int = 0, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(run_id, pos, out_pos, rank, d, l_run, l_pos, y): the k nearest library rows of each query.
 
     Ties go by the gap in time (in-sample only), then by run and position of the
     library row. In-sample, rows of the same run within ``radius`` (at least the
     row itself) are excluded. Queries with fewer candidates get them all.
+    ``sizes``: rows of library and queries, where they are known.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    left = lib.select(F.col("run_id").alias("l_run"), F.col("pos").alias("l_pos"), F.col("state").alias("l_state"), "y")
-    n = left.count()
-    if n <= block:
+    n, m = sizes or (lib.count(), None)
+    if n <= broadcast_rows:
+        left = lib.select(F.col("run_id").alias("l_run"), F.col("pos").alias("l_pos"), F.col("state").alias("l_state"), "y")
         pairs = qry.join(F.broadcast(left), _allowed(in_sample, radius))
+        near = pairs.select("run_id", "pos", "out_pos", distance(F.col("state"), F.col("l_state")).alias("d"), "l_run", "l_pos", "y")
     else:
-        blocks = -(-n // block)
-        left = left.withColumn("block", F.pmod(F.xxhash64("l_run", "l_pos"), F.lit(blocks)))
-        asked = qry.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = asked.join(left, (asked["block"] == left["block"]) & _allowed(in_sample, radius))
-    gap = F.abs(F.col("l_pos") - F.col("pos")) if in_sample else F.lit(0)
+
+        def work(p: Problem) -> Iterator[tuple]:
+            for at in p.parts():
+                idx, d = p.nearest(at, np.sqrt(p.shut(at, sum(p.squared(at, c) for c in range(p.S.shape[1])))), k)
+                i, j = np.nonzero(np.isfinite(d))
+                hit = idx[i, j]
+                yield p.q_run[at][i], p.q_pos[at][i], p.T[at][i, 0].astype(np.int64), d[i, j], p.s_run[hit], p.s_pos[hit], p.Y[hit].tolist()
+
+        asked = qry.withColumn("y", F.array(F.col("out_pos").cast("double")))
+        schema = "run_id long, pos long, out_pos long, d double, l_run long, l_pos long, y array<double>"
+        near = over_blocks(lib, asked, work, schema, in_sample, radius, (n, m if m is not None else qry.count()), -(-n // block_rows))
+    gap = F.abs(F.col("l_pos") - F.col("pos"))
     far = F.when(F.col("l_run") == F.col("run_id"), gap).otherwise(F.lit(1 << 40)) if in_sample else F.lit(0)
-    scored = pairs.select("run_id", "pos", "out_pos", distance(F.col("state"), F.col("l_state")).alias("d"), far.alias("gap"), "l_run", "l_pos", "y")
-    best = Window.partitionBy("run_id", "pos").orderBy("d", "gap", "l_run", "l_pos")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("gap")
+    best = Window.partitionBy("run_id", "pos").orderBy("d", far, "l_run", "l_pos")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("run_id", "pos", "out_pos", "d", "l_run", "l_pos", "y", "rank")
 
 
 def _allowed(in_sample: bool, radius: int) -> Column:
     if not in_sample:
         return F.lit(True)
     return ~((F.col("l_run") == F.col("run_id")) & (F.abs(F.col("l_pos") - F.col("pos")) <= radius))
-
-
-def excluded_most(lib: DataFrame, qry: DataFrame, radius: int) -> int:
-    """Most library rows that any query of the same series excludes."""
-    near = lib.select("run_id", F.explode(F.sequence(F.col("pos") - radius, F.col("pos") + radius)).alias("pos"))
-    return qry.select("run_id", "pos").join(near, ["run_id", "pos"]).groupBy("run_id", "pos").count().agg(F.max("count")).first()[0] or 0

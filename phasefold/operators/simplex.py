@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasefold.functions.scoring import correlation_or_zero, metric
+from phasefold.functions.scoring import Metric, correlation_or_zero, metric
+from phasefold.plans.blocks import availability, check_columns
 
 from .embedding import library, query
 from .latest import q
-from .neighbors import excluded_most, neighbors
+from .neighbors import neighbors
 
 
 def project(near: DataFrame, targets: list[str]) -> DataFrame:
@@ -38,17 +39,19 @@ def simplex(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None
     in_sample = test is None
     if radius and not in_sample:
         raise ValueError("an exclusion radius needs predictions of the training runs")
+    check_columns(train, [*x, *y, *([mask] if mask else [])])
+    if test is not None:
+        check_columns(test, x)
     lib = library(train, x, y, dimensions, step, horizon, mask)
     base = train if in_sample else test
     qry = query(base, x, dimensions, step, horizon)
     k = k or len(x) * dimensions + 1
-    n = lib.count()
-    if n == 0 or qry.isEmpty():
+    n, m, most = availability(lib, qry, radius, in_sample)
+    if n == 0 or m == 0:
         raise ValueError("no complete training or test state")
-    available = n - (excluded_most(lib, qry, radius) if in_sample else 0)
-    if k > available:
-        raise ValueError(f"k={k} but only {available} neighbours are available")
-    made = project(neighbors(lib, qry, k, in_sample, radius), y)
+    if k > n - most:
+        raise ValueError(f"k={k} but only {n - most} neighbours are available")
+    made = project(neighbors(lib, qry, k, in_sample, radius, sizes=(n, m)), y)
     spine = base.select("run_id", "pos", F.explode(F.array(*[F.lit(t) for t in y])).alias("target"))
     return spine.join(made, ["run_id", "pos", "target"], "left")
 
@@ -58,8 +61,12 @@ def truth(series: DataFrame, y: list[str]) -> DataFrame:
     return series.select("run_id", "pos", F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(q(c)).cast("double").alias("actual")) for c in y])).alias("s")).select("run_id", "pos", "s.*")
 
 
-def score(predictions: DataFrame, series: DataFrame, y: list[str], by: str = "correlation") -> DataFrame:
-    """(target, score) over all runs together."""
+def score(predictions: DataFrame, series: DataFrame, y: list[str], by: Metric = "correlation") -> DataFrame:
+    """(target, score) over all runs together. ``by`` names a metric or is a function of the actual and the predicted column.
+
+    Raises ValueError where the truths of a target are missing from ``series``.
+    """
+    check_columns(series, y)
     both = predictions.join(truth(series, y), ["run_id", "pos", "target"])
     f = correlation_or_zero if by == "correlation" else metric(by)
     return both.groupBy("target").agg(f(F.col("actual"), F.col("pred")).alias("score"))

@@ -2,49 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from phasefold.plans.grid import over_grid, run_ids, to_runs
+from phasefold.plans.blocks import Problem, availability, frames, over_blocks
 
 from . import kernels as K
 
 
-def default_k(p: K.Problem) -> int:
-    """All neighbours that every query has: the library less the most that one query excludes."""
-    return len(p.S) - int(p.excluded().sum(1).max())
+def neighbour_count(k: int, n: int, most: int) -> int:
+    """``k``, or all neighbours that every query has; raises beyond those."""
+    if k > n - most:
+        raise ValueError(f"k={k} but only {n - most} neighbours are available")
+    return k or n - most
 
 
-def smap(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None = None, dimensions: int = 1, step: int = -1, horizon: int = 1, k: int = 0, radius: int = 0, theta: float = 0.0, mask: str | None = None, block: int = 64) -> DataFrame:
-    """(run_id, pos, target, pred, variance, coef, sv) of every row that can be predicted.
+def smap(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None = None, dimensions: int = 1, step: int = -1, horizon: int = 1, k: int = 0, radius: int = 0, theta: float = 0.0, mask: str | None = None) -> DataFrame:
+    """(run_id, pos, target, pred, variance, coef, sv) for every row of ``test`` (of ``train`` without one).
 
-    ``k`` 0 means all available neighbours. A neighbour without a target drops
-    out of that target's fit only; without any target there is no prediction.
+    Rows that can't be predicted have null. ``k`` 0 means all available
+    neighbours. A neighbour without a target drops out of that target's fit only;
+    without any target there is no prediction.
     """
-    runs = to_runs(train, x + y + ([mask] if mask else []))
-    n = len(x)
-    masks = [r[:, -1] == 1 for r in runs] if mask else None
-    xs, ys = [r[:, :n] for r in runs], [r[:, n : n + len(y)] for r in runs]
-    tx = to_runs(test, x + y) if test is not None else None
-    p = K.prepare(xs, ys, dimensions, step, horizon, masks, [r[:, :n] for r in tx] if tx else None, [r[:, n:] for r in tx] if tx else None, radius)
-    most = default_k(p)
-    if k > most:
-        raise ValueError(f"k={k} but only {most} neighbours are available")
-    ids = run_ids(test if test is not None else train)
-
-    def work(s: dict, row: dict) -> list[tuple]:
-        p, out = s["p"], []
-        a, b = int(row["a"]), int(row["b"])
-        part = K.Problem(p.S, p.Y, p.s_run, p.s_pos, p.Q[a:b], p.T[a:b], p.q_run[a:b], p.q_pos[a:b], p.out[a:b], p.inside, p.radius)
-        d = np.where(part.excluded(), np.inf, np.sqrt(K.squared(part.S, part.Q)))
-        idx, near = K.order(d, s["k"], part)
-        for i in range(b - a):
-            ok = np.isfinite(near[i])
-            pred, var, coef, sv = K.smap_fit(near[i][ok], p.S[idx[i][ok]], p.Y[idx[i][ok]], part.Q[i], s["theta"])
-            out += [(s["ids"][part.q_run[i]], int(part.out[i]), t, pred[j], var[j], coef[j].tolist(), sv[j].tolist()) for j, t in enumerate(s["y"])]
-        return out
-
-    grid = pd.DataFrame({"a": range(0, len(p.Q), block)})
-    grid["b"] = np.minimum(grid.a + block, len(p.Q))
-    return over_grid(train.sparkSession, grid, {"p": p, "k": k or most, "theta": theta, "ids": ids, "y": y}, work, "run_id long, pos long, target string, pred double, variance double, coef array<double>, sv array<double>")
+    lib, qry = frames(train, x, y, test, dimensions, step, (horizon,), mask)
+    n, m, most = availability(lib, qry, radius, test is None)
+    size = neighbour_count(k, n, most) if n and m else k
+
+    def work(p: Problem) -> Iterator[tuple]:
+        for at in p.parts():
+            d = np.sqrt(p.shut(at, sum(p.squared(at, c) for c in range(p.S.shape[1]))))
+            idx, near = p.nearest(at, d, size)
+            out = []
+            for i, (r, pos) in enumerate(zip(p.q_run[at].tolist(), p.q_pos[at].tolist(), strict=True)):
+                ok = np.isfinite(near[i])
+                pred, var, coef, sv = K.smap_fit(near[i][ok], p.S[idx[i][ok]], p.Y[idx[i][ok]], p.Q[at][i], theta)
+                out += [(r, pos + horizon, t, pred[j], var[j], coef[j].tolist(), sv[j].tolist()) for j, t in enumerate(y)]
+            if out:
+                yield tuple(zip(*out, strict=True))
+
+    made = over_blocks(lib, qry, work, "run_id long, pos long, target string, pred double, variance double, coef array<double>, sv array<double>", test is None, radius, (n, m))
+    made = made.withColumn("coef", F.when(F.col("pred").isNotNull(), F.col("coef"))).withColumn("sv", F.when(F.col("pred").isNotNull(), F.col("sv")))
+    return on_spine(made, train if test is None else test, y)
+
+
+def on_spine(made: DataFrame, base: DataFrame, y: list[str]) -> DataFrame:
+    """Predictions of every row of ``base`` and target, null where there is none."""
+    spine = base.select(F.col("run_id").cast("long").alias("run_id"), F.col("pos").cast("long").alias("pos"), F.explode(F.array(*[F.lit(t) for t in y])).alias("target"))
+    return spine.join(made, ["run_id", "pos", "target"], "left")

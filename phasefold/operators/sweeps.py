@@ -1,50 +1,62 @@
-"""Skill over embedding dimensions, horizons and localisation."""
+"""Skill over embedding dimensions, horizons and localisation.
+
+Each sweep is one pass: distances are made once for a few queries and grow lag by
+lag, neighbours are found once wherever the swept setting doesn't change them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasefold.plans.grid import over_grid, to_runs
+from phasefold.functions.scoring import Metric, skill_by
+from phasefold.plans.blocks import Problem, availability, frames, over_blocks
 
 from . import kernels as K
+from .smap import neighbour_count
 
+#: The strengths tested where none are given.
 THETAS = (0.01, 0.1, 0.3, 0.5, 0.75, 1, 1.5, 2, 3, 4, 5, 6, 7, 8, 9)
 
 
-def _shared(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None, **more) -> dict:
-    cut = lambda runs: ([r[:, : len(x)] for r in runs], [r[:, len(x) :] for r in runs])
-    a, b = cut(to_runs(train, x + y))
-    c, d = cut(to_runs(test, x + y)) if test is not None else (None, None)
-    return {"x": a, "y": b, "xt": c, "yt": d, "names": (x, y), **more}
-
+def _rows(names: tuple, made: np.ndarray, truth: np.ndarray) -> tuple:
+    return (*[[v] * len(made) for v in names], made, np.where(np.isinf(truth), np.nan, truth))
 
-def _skill(s: dict, x: int | None, t: int, e: int, h: int, rows: int) -> float:
-    """Correlation of one target's prediction; ``rows`` > 0 keeps the states complete at that dimension."""
-    pick = lambda runs: None if runs is None else [r if x is None else r[:, [x]] for r in runs]
-    tgt = lambda runs: None if runs is None else [r[:, [t]] for r in runs]
-    p = K.prepare(pick(s["x"]), tgt(s["y"]), max(e, rows), s["step"], h, None, pick(s["xt"]), tgt(s["yt"]), s["radius"])
-    if rows > e:
-        keep = [v * rows + i for v in range(p.S.shape[1] // rows) for i in range(e)]
-        p.S, p.Q = p.S[:, keep], p.Q[:, keep]
-    return K.correlate(p.T[:, 0], K.predict(p, s["k"])[:, 0])
 
+def embedding_sweep(train: DataFrame, x: list[str], y: list[str] | None = None, test: DataFrame | None = None, dimensions: int = 10, step: int = -1, horizon: int = 1, k: int = 0, radius: int = 0, joint: bool = True, shared_rows: bool = False, mask: str | None = None, by: Metric = "plain") -> DataFrame:
+    """(target, variable, e, skill): ``variable`` is null in a joint sweep. Without ``y`` each variable predicts itself.
 
-def embedding_sweep(train: DataFrame, x: list[str], y: list[str] | None = None, test: DataFrame | None = None, dimensions: int = 10, step: int = -1, horizon: int = 1, k: int = 0, radius: int = 0, joint: bool = True, shared_rows: bool = False) -> DataFrame:
-    """(target, variable, e, skill): ``variable`` is null in a joint sweep. Without ``y`` each variable predicts itself."""
+    Each dimension uses the states complete at that dimension; ``shared_rows``
+    keeps those complete at the largest one in all variables, and scores the rows
+    whose truths are all there.
+    """
     self_only, y = y is None, y or x
-    s = _shared(train, x, y, test, step=step, radius=radius, k=k)
-    pairs = [(i, i) for i in range(len(x))] if self_only else [(None if joint else i, j) for j in range(len(y)) for i in (range(1) if joint else range(len(x)))]
-    grid = pd.DataFrame([(-1 if v is None else v, t, e) for v, t in pairs for e in range(1, dimensions + 1)], columns=["v", "t", "e"])
-
-    def work(s: dict, r: dict) -> list[tuple]:
-        v = None if r["v"] < 0 else int(r["v"])
-        got = _skill(s, v, int(r["t"]), int(r["e"]), horizon, dimensions if shared_rows else 0)
-        return [(s["names"][1][int(r["t"])], None if v is None else s["names"][0][v], int(r["e"]), got)]
-
-    return over_grid(train.sparkSession, grid, s, work, "target string, variable string, e int, skill double")
+    lib, qry = frames(train, x, y, test, dimensions, step, (horizon,), mask, whole=shared_rows)
+    groups = [(x[i], [i], [i]) for i in range(len(x))] if self_only else [(None, list(range(len(x))), list(range(len(y))))] if joint else [(x[i], [i], list(range(len(y)))) for i in range(len(x))]
+
+    def work(p: Problem) -> Iterator[tuple]:
+        p.Y = np.where(np.isinf(p.Y), np.nan, p.Y)
+        for at in p.parts():
+            use = np.isfinite(p.T[at]).all(1) if shared_rows else np.ones(len(p.T[at]), dtype=bool)
+            for variable, sources, targets in groups:
+                d2 = p.shut(at, np.zeros((len(p.Q[at]), len(p.S))))
+                whole = use.copy()
+                for e in range(1, dimensions + 1):
+                    for v in sources:
+                        d2 = d2 + p.squared(at, v * dimensions + e - 1)
+                        whole &= np.isfinite(p.Q[at, v * dimensions + e - 1])
+                    if not whole.any():
+                        break
+                    idx, near = p.nearest(at, np.sqrt(np.where(np.isnan(d2), np.inf, d2)), k or e * len(sources) + 1)
+                    pred = K.simplex_fit(near, p.Y[idx])[0]
+                    for j in targets:
+                        yield _rows((y[j], variable, e), pred[whole, j], p.T[at][whole, j])
+
+    rows = over_blocks(lib, qry, work, "target string, variable string, e int, pred double, actual double", test is None, radius)
+    return skill_by(rows, ["target", "variable", "e"], by)
 
 
 def best_dimension(sweep: DataFrame) -> DataFrame:
@@ -53,24 +65,53 @@ def best_dimension(sweep: DataFrame) -> DataFrame:
     return sweep.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def horizon_sweep(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None = None, dimensions: int = 1, step: int = -1, horizons: list[int] | None = None, k: int = 0, radius: int = 0) -> DataFrame:
-    """(target, horizon, skill), each horizon fitted on its own rows."""
-    s = _shared(train, x, y, test, step=step, radius=radius, k=k)
-    grid = pd.DataFrame([(t, h) for t in range(len(y)) for h in (horizons or range(1, 11))], columns=["t", "h"])
-    return over_grid(train.sparkSession, grid, s, lambda s, r: [(s["names"][1][int(r["t"])], int(r["h"]), _skill(s, None, int(r["t"]), dimensions, int(r["h"]), 0))], "target string, horizon int, skill double")
-
-
-def theta_sweep(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None = None, dimensions: int = 1, step: int = -1, horizon: int = 1, thetas: tuple[float, ...] = THETAS, k: int = 0, radius: int = 0) -> DataFrame:
-    """(target, theta, skill) of the S-map; neighbours are found once in each task."""
-    from .smap import default_k
-
-    s = _shared(train, x, y, test, step=step, radius=radius, k=k)
-
-    def work(s: dict, r: dict) -> list[tuple]:
-        p = K.prepare(s["x"], s["y"], dimensions, s["step"], horizon, None, s["xt"], s["yt"], s["radius"])
-        d = np.where(p.excluded(), np.inf, np.sqrt(K.squared(p.S, p.Q)))
-        idx, near = K.order(d, s["k"] or default_k(p), p)
-        pred = np.array([K.smap_fit(n[np.isfinite(n)], p.S[i[np.isfinite(n)]], p.Y[i[np.isfinite(n)]], q, r["theta"])[0] for n, i, q in zip(near, idx, p.Q, strict=True)])
-        return [(t, float(r["theta"]), K.correlate(p.T[:, j], pred[:, j])) for j, t in enumerate(s["names"][1])]
-
-    return over_grid(train.sparkSession, pd.DataFrame({"theta": [float(t) for t in thetas]}), s, work, "target string, theta double, skill double")
+def own_dimension(train: DataFrame, x: list[str], test: DataFrame | None = None, dimensions: int = 10, **more) -> dict[str, int]:
+    """The dimension at which each variable's history best predicts itself; a skill that can't be told counts as 0."""
+    swept = embedding_sweep(train, x, None, test, dimensions, shared_rows=True, **more)
+    return {r["variable"]: r["e"] for r in best_dimension(swept.withColumn("skill", F.coalesce("skill", F.lit(0.0)))).collect()}
+
+
+def horizon_sweep(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None = None, dimensions: int = 1, step: int = -1, horizons: list[int] | None = None, k: int = 0, radius: int = 0, shared_neighbors: bool = False, mask: str | None = None, by: Metric = "plain") -> DataFrame:
+    """(target, horizon, skill). Each horizon has its own rows, or, with ``shared_neighbors``, those usable at the largest one and one search."""
+    hs = list(horizons or range(1, 11))
+    lib, qry = frames(train, x, y, test, dimensions, step, hs, mask)
+    far = hs.index(max(hs))
+
+    def work(p: Problem) -> Iterator[tuple]:
+        y_at = lambda i: slice(i, None, len(hs))
+        for at in p.parts():
+            d = np.sqrt(p.shut(at, sum(p.squared(at, c) for c in range(p.S.shape[1]))))
+            found = None
+            for i, h in enumerate(hs):
+                edge = far if shared_neighbors else i
+                if found is None or not shared_neighbors:
+                    usable = ~np.isinf(p.Y[:, edge])
+                    found = p.nearest(at, np.where(usable, d, np.inf), k or p.S.shape[1] + 1)
+                idx, near = found
+                asked = ~np.isinf(p.T[at, edge])
+                target = np.where(np.isinf(p.Y[:, y_at(i)]), np.nan, p.Y[:, y_at(i)])
+                pred = K.simplex_fit(near, target[idx])[0]
+                for j, t in enumerate(y):
+                    yield _rows((t, h), pred[asked, j], p.T[at][asked, j * len(hs) + i])
+
+    rows = over_blocks(lib, qry, work, "target string, horizon int, pred double, actual double", test is None, radius)
+    return skill_by(rows, ["target", "horizon"], by)
+
+
+def theta_sweep(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None = None, dimensions: int = 1, step: int = -1, horizon: int = 1, thetas: tuple[float, ...] = THETAS, k: int = 0, radius: int = 0, mask: str | None = None, by: Metric = "plain") -> DataFrame:
+    """(target, theta, skill) of the S-map; neighbours are found once for all strengths."""
+    lib, qry = frames(train, x, y, test, dimensions, step, (horizon,), mask)
+    n, m, most = availability(lib, qry, radius, test is None)
+    size = neighbour_count(k, n, most) if n and m else k
+
+    def work(p: Problem) -> Iterator[tuple]:
+        for at in p.parts():
+            d = np.sqrt(p.shut(at, sum(p.squared(at, c) for c in range(p.S.shape[1]))))
+            idx, near = p.nearest(at, d, size)
+            for theta in thetas:
+                pred = np.array([K.smap_fit(a[np.isfinite(a)], p.S[i[np.isfinite(a)]], p.Y[i[np.isfinite(a)]], s, float(theta))[0] for a, i, s in zip(near, idx, p.Q[at], strict=True)])
+                for j, t in enumerate(y):
+                    yield _rows((t, float(theta)), pred[:, j], p.T[at][:, j])
+
+    rows = over_blocks(lib, qry, work, "target string, theta double, pred double, actual double", test is None, radius, (n, m))
+    return skill_by(rows, ["target", "theta"], by)
