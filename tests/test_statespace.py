@@ -7,12 +7,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from phasefold.estimators import CrossMapFolds, Selection, Simplex
+from phasefold.estimators import CrossMap, CrossMapFolds, Multiview, Selection, SelectionFolds, Simplex, SMap
 from phasefold.functions import scoring
 from phasefold.operators import crossmap, crossval, generate, multiview, neighbors, selection, simplex, smap, surrogates, sweeps
 from phasefold.operators.embedding import library, query
-from phasefold.sources.results import load, save
+from phasefold.plans import blocks
+from phasefold.sources.results import load, pack, save
 from phasefold.sources.tables import read_series
+from phasefold.streaming.forecast import forecast_each, windowed
 
 
 def chaos(n: int = 90, seed: int = 0) -> np.ndarray:
@@ -195,3 +197,162 @@ def test_read_series(spark, tmp_path):
     pd.DataFrame({"Time": ["x", "y", "z"], "Var 1": ["1", "n/a", "3"]}).to_csv(tmp_path / "s.csv", index=False)
     got = read_series(spark, str(tmp_path / "s.csv"), ["Var 1"]).orderBy("pos").collect()
     assert [r["Var 1"] for r in got] == [1.0, None, 3.0] and [r["pos"] for r in got] == [0, 1, 2]
+
+
+def test_masked_rows_predict_but_do_not_train(spark):
+    x = chaos(60)
+    s = frame(spark, [x]).withColumn("m", F.when(F.col("pos") != 5, F.col("pos") % 3 != 0))
+    got = {r["pos"]: r["pred"] for r in simplex.simplex(s, ["a"], ["b"], dimensions=2, mask="m").collect()}
+    use = [t for t in range(1, 59) if t % 3 and t != 5]
+    for t in range(1, 59):
+        near = sorted((np.hypot(x[t, 0] - x[u, 0], x[t - 1, 0] - x[u - 1, 0]), abs(t - u), u) for u in use if u != t)[:3]
+        d = np.array([n[0] for n in near])
+        w = np.exp(-d / max(d.min(), 1e-6))
+        assert abs(got[t + 1] - (w * x[[n[2] + 1 for n in near], 1]).sum() / w.sum()) < 1e-9
+    assert got[0] is None and got[1] is None
+
+
+def test_smap_coefficients_and_singular_values(spark):
+    x = chaos(50)
+    got = smap.smap(frame(spark, [x]), ["a", "b"], ["c"], theta=3.0, k=20, radius=2).toPandas().set_index("pos")
+    for t in (10, 30, 48):
+        d = np.hypot(*(x[:49, :2] - x[t, :2]).T)
+        d[max(0, t - 2) : t + 3] = np.inf
+        at = np.lexsort((np.arange(49), np.abs(np.arange(49) - t), d))[:20]
+        w = np.exp(-3 * d[at] / d[at].mean())
+        A = np.column_stack([np.ones(20), x[at, :2]]) * w[:, None]
+        c = np.linalg.lstsq(A, x[at + 1, 2] * w, rcond=None)[0]
+        row = got.loc[t + 1]
+        assert np.allclose(row.coef, c, atol=1e-8) and np.allclose(row.sv, np.linalg.svd(A, compute_uv=False)) and abs(row.pred - c @ [1, *x[t, :2]]) < 1e-9
+        assert abs(row.variance - (w * (x[at + 1, 2] - row.pred) ** 2).sum() / w.sum()) < 1e-9
+    with pytest.raises(ValueError):
+        smap.smap(frame(spark, [x]), ["a"], ["b"], k=49)
+    with pytest.raises(ValueError):
+        smap.smap(frame(spark, [x]), ["a"], ["none"])
+
+
+def naive_skill(S, y, rows, queries, k):
+    pred = []
+    for q in queries:
+        d = np.array([np.inf if r == q else np.sqrt(((S[r] - S[q]) ** 2).sum()) for r in rows])
+        at = np.lexsort((np.arange(len(rows)), np.abs(rows - q), d))[:k]
+        w = np.where(np.isfinite(d[at]), np.exp(-d[at] / max(d[at].min(), 1e-6)), 0)
+        pred.append((w * y[rows[at]]).sum() / w.sum())
+    return np.corrcoef(pred, y[queries])[0, 1]
+
+
+def test_cross_map_draws_equal_numpy_and_dimensions_are_searched(spark):
+    x = chaos(70)
+    s = frame(spark, [x])
+    got = crossmap.cross_map(s, ["b"], ["a"], dimensions=2, sizes=[20, 50], repeats=2, seed=9).collect()
+    S = np.column_stack([x[1:, 1], x[:-1, 1]])
+    want = {(size, r): naive_skill(S, x[1:, 0], np.sort(at), np.arange(69), 3) for size, r, at in crossmap.draws(69, [20, 50], 2, 9)}
+    assert all(abs(r["skill"] - want[r["lib_size"], r["repeat"]]) < 1e-9 for r in got) and len(got) == 4
+    own = sweeps.own_dimension(s, ["a", "b"], dimensions=4, horizon=1)
+    found = crossmap.cross_map(s, ["a", "b"], dimensions=None, max_dimensions=4, sizes=[30], repeats=1, horizon=1)
+    given = crossmap.cross_map(s, ["a", "b"], dimensions=own, sizes=[30], repeats=1, horizon=1)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, given.collect())) and found.count() == 4
+    tables = crossmap.dimension_table({"a": 2, ("b", "a"): 3, ("b", "b"): 1}, ["a", "b"], ["a", "b"])
+    assert tables == {("a", "a"): 2, ("a", "b"): 2, ("b", "a"): 3, ("b", "b"): 1}
+    assert crossmap.cross_map(s, ["b"], ["a"], dimensions=1).select("lib_size").distinct().count() == 5
+
+
+def test_gates_and_candidate_dimensions(spark):
+    x = chaos(90)
+    rng = np.random.default_rng(0)
+    rows = [(0, t, *map(float, v), float(rng.normal())) for t, v in enumerate(x)]
+    s = spark.createDataFrame(rows, "run_id long, pos long, a double, b double, c double, z double")
+    args = dict(most=2, percents=(20, 50, 80), repeats=3, max_dimensions=3)
+    slopes = selection.convergence_slopes(s, ["b", "z"], "a", 2, 89, (20, 50, 80), 3, 0, -1, 1, 0)
+    skills = crossmap.mean_skill(crossmap.cross_map(s, ["a"], ["b", "z"], dimensions=2, horizon=1, sizes=[17, 44, 71], repeats=3, mode="sample")).toPandas()
+    for c, g in skills.groupby("target"):
+        assert abs(slopes[c] - np.polyfit(g.lib_size / 89, g.skill, 1)[0]) < 1e-9
+    assert selection.convergence_slopes(s, ["b"], "a", 2, 89, (50,), 3, 0, -1, 1, 0) == {"b": 0.5}
+    high = max(slopes.values()) + 1
+    for gate in ("pre", "post"):
+        assert selection.choose(s, ["b", "z"], "a", gate=gate, least_slope=high, dimensions=2, **args).steps == []
+        some = selection.choose(s, ["b", "z"], "a", gate=gate, least_slope=-9.0, dimensions=None, **args)
+        assert some.variables and {v for v, _, _ in some.dimensions} == {"b", "z"}
+        assert (some.steps[0][3] is None) == (gate == "pre")
+    peaks = {v: p for v, _, p in some.dimensions}
+    kept = selection.choose(s, ["b", "z"], "a", gate="pre", least_slope=-9.0, dimensions=None, least_peak=peaks["b"], **args)
+    assert kept.variables == ["b"]
+    own = selection.candidate_scores(s, ["b", "z"], "a", metric=lambda t, p: -F.avg(F.abs(t - p)))
+    assert own.where("score < 0").count() == 2
+
+
+def test_folds_predict_and_reselect(spark):
+    x = chaos(60)
+    s = frame(spark, [x])
+    est = SelectionFolds(["a", "b", "c"], ["a"], {"folds": 3, "gate": False, "most": 2})
+    got = est.fit(s)["a"]
+    assert len(got) == 3 and est.best_folds()["a"] in (0, 1, 2)
+    made = est.fold_predictions()
+    assert made.count() == 60 and made.where("pred IS NOT NULL").count() == 57
+    score = {r["fold"]: r["score"] for r in crossval.fold_scores(s, made, "a", 3).collect()}
+    assert all(abs(score[f] - steps[-1][2]) < 1e-9 for f, steps in got)
+    assert [t[2] for t in crossval.stepwise_scores(got) if t[0] == 0] == [g[1] for g in got[0][1]]
+    for how in crossval.FINAL:
+        est.settings["how"] = how
+        chosen = est.variables()["a"]
+        assert chosen and set(chosen) <= {"a", "b", "c"}
+    assert est.predict(frame(spark, [chaos(20, 5)])).where("pred IS NOT NULL").count() == 19
+    assert crossval.fold_predictions(s, [(0, [])], "a", 3).where("pred IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        crossval.final_variables(s, got, ["a"], "a", "other")
+
+
+def test_estimators_run(spark):
+    s, t = frame(spark, [chaos(50)]), frame(spark, [chaos(30, 3)])
+    assert SMap(["a"], ["b"], {"theta": 1.0}).fit(s, t).count() == 30
+    pred, ranked = Multiview(["a", "b"], ["a"], {"view_size": 1, "rank_inside": False}).fit(s, t)
+    assert pred.count() == 30 and ranked.count() == 1
+    assert CrossMap(["a"], ["b"], {"dimensions": 1, "sizes": [10], "repeats": 2}).fit(s).count() == 1
+    est = Selection(["a", "b"], ["a", "b"], {"gate": False, "most": 1})
+    est.fit(s)
+    assert est.predict(t).count() == 60 and est.predict(t, theta=1.0).where("target = 'a' AND pred IS NOT NULL").count() == 29
+
+
+def test_records_are_packed(spark):
+    df = spark.createDataFrame([(1, "a", "b", 0.5, 9)], "lib_size long, source string, target string, skill double, more int")
+    assert pack("cross_map", "skills", df).dtypes == [("lib_size", "int"), ("source", "string"), ("target", "string"), ("skill", "double")]
+    with pytest.raises(ValueError):
+        pack("cross_map", "skills", df.drop("skill"))
+    with pytest.raises(ValueError):
+        pack("cross_map", "other", df)
+
+
+def test_generation_by_linear_map_and_seasonal_trend(spark):
+    x = chaos(40)
+    got = generate.generate(frame(spark, [x, chaos(30, 4)]), ["a"], 3, 1, theta=0.0).where("run_id = 0").orderBy("pos").toPandas().value
+    m, c = np.polyfit(x[:-1, 0], x[1:, 0], 1)
+    want, v = [], x[-1, 0]
+    for _ in range(3):
+        v = c + m * v
+        want.append(v)
+    assert np.allclose(got, want)
+    v = np.random.default_rng(3).normal(size=25).cumsum()
+    d = np.diff(np.eye(25), 2, axis=0)
+    assert np.allclose(surrogates.smoothed(v, 100.0), np.linalg.solve(np.eye(25) + 100 * d.T @ d, v))
+    assert np.allclose(surrogates.smoothed(v[:2], 5.0), v[:2])
+
+
+def test_blocks_refuse_what_does_not_fit(spark, monkeypatch):
+    s = frame(spark, [chaos(30)])
+    lib, qry = blocks.frames(s, ["a"], ["b"])
+    monkeypatch.setattr(blocks, "MOST_NUMBERS", 10)
+    with pytest.raises(Exception, match="too large for a task"):
+        blocks.over_blocks(lib, qry, lambda p: iter(()), "x long", True).count()
+    with pytest.raises(ValueError):
+        blocks.over_blocks(lib.where("false"), qry, lambda p: iter(()), "x long", True)
+
+
+def test_streamed_windows_are_forecast(spark, tmp_path):
+    pd.DataFrame({"ts": pd.date_range("2020-01-01", periods=300, freq="20min").astype("datetime64[us]"), "value": np.arange(300.0)}).to_parquet(tmp_path / "in.parquet")
+    stream = spark.readStream.schema("ts timestamp, value double").parquet(str(tmp_path / "*.parquet"))
+    seen = []
+    q = forecast_each(windowed(stream, "ts", "value"), lambda df: df.withColumn("next", F.col("v") * 2), lambda df, n: seen.extend(df.collect()), str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    first = sorted(seen)[0]
+    assert len(seen) >= 95 and first["v"] == 3.0 and first["next"] == 6.0
