@@ -314,6 +314,20 @@ def surrogate_csv(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("surrogate_id").agg(F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"))
 
 
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """The lagged samples of three species as runs: the row of each state that holds, time as position; grows with the data."""
+    b = spark.read.parquet(f"{d}/block_3sp.parquet").where("state_id IS NOT NULL AND run_id IS NOT NULL AND time IS NOT NULL")
+    one = b.groupBy("run_id", "time").agg(*[F.min(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("x_t", "y_t", "z_t")])
+    at = F.row_number().over(Window.partitionBy("run_id").orderBy("time")) - 1
+    return one.select("run_id", at.cast("long").alias("pos"), "x_t", "y_t", "z_t")
+
+
+def simplex_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample's next z from all runs' histories of x."""
+    s = samples(spark, d).withColumn("z_t", F.coalesce("z_t", F.lit(0.0)))
+    return _rounded(simplex.simplex(s, ["x_t"], ["z_t"], dimensions=2))
+
+
 def vector_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """Five nearest of every 50th ready-made state among all embeddings, itself aside."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.lit(0).alias("run_id"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("state"))
@@ -326,7 +340,7 @@ QUERIES = {
     for f in (
         spine_hourly, lag_states, training_pairs, knn_inside, knn_radius, simplex_weekly, simplex_back, simplex_runs, simplex_split, simplex_mask, forecast_score, scores, smap_global, smap_local, smap_three, embedding_skill, best_embedding, candidate_dimensions,
         horizon_skill, horizon_shared, theta_skill, cross_map_rule, cross_map_all, cross_map_flat, cross_map_clamp, cross_map_slope, multiview_weekly, multiview_ranks, first_choice, greedy_choice, target_choice, selected_forecast, fold_blocks, fold_runs, fold_forecast,
-        fold_scores, cross_map_folds, generate_weekly, generate_linear, surrogate_shuffle, surrogate_phase, surrogate_csv, saved_forecast, csv_series, vector_neighbors,
+        fold_scores, cross_map_folds, generate_weekly, generate_linear, surrogate_shuffle, surrogate_phase, surrogate_csv, saved_forecast, csv_series, simplex_samples, vector_neighbors,
     )
 }
 
@@ -524,6 +538,8 @@ SELECT CAST(i AS INTEGER) AS surrogate_id, (SELECT round(avg(v), 3) FROM w) AS m
     "surrogate_csv": f"WITH {_WEEK} SELECT CAST(i AS INTEGER) AS surrogate_id, round(sum(v), 2) AS total, count(*) AS n FROM w, range(2) r(i) GROUP BY i",
     "saved_forecast": f"WITH {_WEEK}, {_simplex(_LAG, 'v', 1, 4)} " + _OUT.replace("SELECT ", "SELECT 'simplex' AS kind, 3 AS dimensions, "),
     "csv_series": f"WITH {_FLAG} SELECT CAST(run_id AS BIGINT) AS run_id, pos, CASE WHEN pos % 10 <> 3 THEN v END AS v FROM w",
+    "simplex_samples": f"""WITH o AS (SELECT run_id, "time", min(CASE WHEN NOT isnan(x_t) THEN x_t END) AS v, min(CASE WHEN NOT isnan(z_t) THEN z_t END) AS z FROM block_3sp WHERE state_id IS NOT NULL AND run_id IS NOT NULL AND "time" IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY "time") - 1 AS pos, v, coalesce(z, 0) AS z FROM o), {_simplex(_LAG[:2], 'z', 1, 3)} {_OUT}""",
     "fold_blocks": f"""WITH {_WEEK}, n AS (SELECT count(*) AS n FROM w), e AS (SELECT i, CAST(floor(n * i / 4) AS BIGINT) AS a, CAST(floor(n * (i + 1) / 4) AS BIGINT) AS b FROM n, range(4) r(i))
 SELECT i AS fold, a AS first, b - 1 AS last, b - a AS n FROM e""",
     "surrogate_shuffle": f"WITH {_WEEK} SELECT CAST(i AS INTEGER) AS surrogate_id, round(sum(v), 2) AS total, round(sum(v * v), 0) AS squares, TRUE AS moved, min(v) AS low, max(v) AS high FROM w, range(5) r(i) GROUP BY i",

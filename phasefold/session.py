@@ -1,22 +1,31 @@
-"""Session helpers: where lineage is cut and how wide shuffles are."""
+"""Where lineage is cut."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that all executors share.
+    """The folder for checkpoints that all executors share: the one of ``spark.checkpoint.dir``.
 
-    It is the one of ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local mode) a temporary folder of this machine is used.
+    Only in local mode, where that may be unset (tests), a temporary folder of
+    this machine is used; it is removed at the end. On a cluster an unset folder
+    is an error.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="phasefold-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="phasefold-")
+            atexit.register(shutil.rmtree, named, True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -24,8 +33,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage through a checkpoint that survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def width(spark: SparkSession) -> int:
-    """Tasks for explicit repartitions: the session's shuffle width."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
