@@ -1,10 +1,10 @@
 """Nearest training states of every test state.
 
-Each test state is compared with every training state, by definition. A small
-library (its rows are counted) is broadcast and the comparison is a join in the
-JVM. A larger one is cut into blocks by a hash, the queries into groups; a task
-compares one group with one block by numpy and keeps k best, which are ranked
-once more over all blocks.
+Each test state is compared with every training state, by definition. Few pairs
+(both sides are counted) are a join with a broadcast library in the JVM. For more,
+the library is cut into blocks by a hash, the queries into groups; a task compares
+one group with one block by numpy and keeps k best, which are ranked once more
+over all blocks. The result is the same.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from phasefold.plans.blocks import Problem, over_blocks
 
-BROADCAST_ROWS = 50_000
+JOIN_PAIRS = 1_000_000  # pairs that a join compares; a broadcast library has at most as many rows
 BLOCK_ROWS = 500_000  # training states of a block
 
 
@@ -25,7 +25,7 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
 
 
-def neighbors(lib: DataFrame, qry: DataFrame, k: int, in_sample: bool = False, radius: int = 0, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
+def neighbors(lib: DataFrame, qry: DataFrame, k: int, in_sample: bool = False, radius: int = 0, join_pairs: int = JOIN_PAIRS, block_rows: int = BLOCK_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(run_id, pos, out_pos, rank, d, l_run, l_pos, y): the k nearest library rows of each query.
 
     Ties go by the gap in time (in-sample only), then by run and position of the
@@ -35,8 +35,8 @@ def neighbors(lib: DataFrame, qry: DataFrame, k: int, in_sample: bool = False, r
     """
     if k < 1:
         raise ValueError("k must be positive")
-    n, m = sizes or (lib.count(), None)
-    if n <= broadcast_rows:
+    n, m = sizes or (lib.count(), qry.count())
+    if n * m <= join_pairs and n <= JOIN_PAIRS:
         left = lib.select(F.col("run_id").alias("l_run"), F.col("pos").alias("l_pos"), F.col("state").alias("l_state"), "y")
         pairs = qry.join(F.broadcast(left), _allowed(in_sample, radius))
         near = pairs.select("run_id", "pos", "out_pos", distance(F.col("state"), F.col("l_state")).alias("d"), "l_run", "l_pos", "y")
@@ -51,7 +51,7 @@ def neighbors(lib: DataFrame, qry: DataFrame, k: int, in_sample: bool = False, r
 
         asked = qry.withColumn("y", F.array(F.col("out_pos").cast("double")))
         schema = "run_id long, pos long, out_pos long, d double, l_run long, l_pos long, y array<double>"
-        near = over_blocks(lib, asked, work, schema, in_sample, radius, (n, m if m is not None else qry.count()), -(-n // block_rows))
+        near = over_blocks(lib, asked, work, schema, in_sample, radius, (n, m), -(-n // block_rows))
     gap = F.abs(F.col("l_pos") - F.col("pos"))
     far = F.when(F.col("l_run") == F.col("run_id"), gap).otherwise(F.lit(1 << 40)) if in_sample else F.lit(0)
     best = Window.partitionBy("run_id", "pos").orderBy("d", far, "l_run", "l_pos")

@@ -78,7 +78,7 @@ def test_simplex_errors(spark):
 def test_neighbors_in_blocks_equal_broadcast(spark):
     s = frame(spark, [np.round(chaos(80), 1)])  # many exact ties
     lib, qry = library(s, ["a", "b"], ["c"]), query(s, ["a", "b"])
-    one, many, blocks = (sorted(map(tuple, neighbors.neighbors(lib, qry, 4, True, 1, *b).select("pos", "rank", "l_pos", "d").collect())) for b in ((1000, 1000), (10, 1000), (10, 20)))
+    one, many, blocks = (sorted(map(tuple, neighbors.neighbors(lib, qry, 4, True, 1, *b).select("pos", "rank", "l_pos", "d").collect())) for b in ((10**6, 1000), (10, 1000), (10, 20)))
     assert one == many == blocks
 
 
