@@ -63,19 +63,34 @@ def from_quoted_printable(body: str, charset: str | None) -> str:
     return _text(_HEX.sub(lambda m: bytes([int(m[1], 16)]), data), charset)
 
 
+_PADDING = re.compile(r"=+")
+_NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
+_WIDE = re.compile(r"utf[-_]?(?:16|32)", re.I)
+_CONTROL = bytes([*range(9), *range(14, 32)])
+
+
 def from_base64(body: str) -> bytes | None:
-    kept = re.sub(r"[^A-Za-z0-9+/]", "", body.partition("=")[0])
-    kept = kept[: len(kept) - (len(kept) % 4 == 1)]
-    try:
-        return binascii.a2b_base64(kept + "=" * (-len(kept) % 4))
-    except binascii.Error:
-        return None
+    """The bytes of all stretches between paddings; None where one is no base64."""
+    out = []
+    for stretch in _PADDING.split(body):
+        kept = _NOT_BASE64.sub("", stretch)
+        kept = kept[: len(kept) - (len(kept) % 4 == 1)]
+        if kept:
+            try:
+                out.append(binascii.a2b_base64(kept + "=" * (-len(kept) % 4)))
+            except binascii.Error:
+                return None
+    return b"".join(out)
 
 
 def readable(data: bytes, charset: str | None) -> str | None:
-    """Text of attached bytes; None where they aren't text."""
-    probe = data[:4096]
-    if b"\0" in probe or sum(b < 9 or 13 < b < 32 for b in probe) * 50 > len(probe):
+    """Text of attached bytes, judged by all of them; None where they aren't text."""
+    if charset and _WIDE.match(charset):
+        try:
+            return data.decode(charset)
+        except (LookupError, UnicodeDecodeError):
+            pass
+    if b"\0" in data or (len(data) - len(data.translate(None, _CONTROL))) * 50 > len(data):
         return None
     for name in (charset, "utf-8"):
         if name:
@@ -84,8 +99,8 @@ def readable(data: bytes, charset: str | None) -> str | None:
             except (LookupError, UnicodeDecodeError):
                 pass
     text = data.decode("cp1252", "replace")
-    odd = sum(ord(c) > 126 for c in text[:2000])
-    return text if odd * 5 < min(len(text), 2000) else None
+    odd = len(text) - len(text.encode("ascii", "ignore"))
+    return text if odd * 5 < len(text) else None
 
 
 def strip_markup(page: str) -> str:
@@ -94,6 +109,9 @@ def strip_markup(page: str) -> str:
     return html.unescape(_TAG.sub("", page))
 
 
+DEPTH = 20  # parts nested deeper are taken as plain text, undecoded
+
+
 def parts(raw: str | None, depth: int = 0) -> Iterator[Part]:
     """The text-bearing leaves of a message; null and empty texts have none."""
     if not raw:
@@ -115,7 +133,7 @@ def _part_head(raw: str) -> tuple[str, str]:
 def _leaves(head: str, body: str, depth: int) -> Iterator[Part]:
     found = _TYPE.search(head)
     kind = found[1].lower() if found else "text/plain"
-    if kind.startswith("multipart/") and depth < 20:
+    if kind.startswith("multipart/") and depth < DEPTH:
         b = _BOUNDARY.search(head)
         mark = "--" + (b[1] or b[2] or b[3]) if b else None
         if mark and mark in body:
@@ -131,7 +149,7 @@ def _leaves(head: str, body: str, depth: int) -> Iterator[Part]:
                 yield from parts(piece, depth + 1) if piece.strip() else ()
             return
         kind = "text/plain"
-    if kind == "message/rfc822" and depth < 20:
+    if kind == "message/rfc822" and depth < DEPTH:
         inner_head, inner = head_and_body(body)
         yield from _leaves(_unfold(inner_head), inner, depth + 1)
         return

@@ -191,6 +191,8 @@ def test_mail_parts():
     assert [p.kind for p in got] == ["plain", "attached", "html"]
     assert got[0].text.strip() == "naïve line" and got[1].text == "hello world" and mail.strip_markup(got[2].text).split() == ["a", "bc", "&", "d"]
     assert mail.subject(raw) == "café {{x}}"
+    assert mail.from_base64("aGVs\nbG8=IHdv\ncmxk") == b"hello world" and mail.readable("wide é".encode("utf-16"), "utf-16") == "wide é"
+    assert mail.readable(b"text " * 2000 + b"\0", None) is None and mail.readable(b"\xff\xfe" + b"plain text " * 3000, None).endswith("text ")
     assert list(mail.parts(None)) == [] and list(mail.parts("")) == [] and mail.subject(None) == ""
 
 
