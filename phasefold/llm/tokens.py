@@ -170,13 +170,14 @@ def _merged(t: Column, word: Column) -> Column:
 
     def step(e: Column, _) -> Column:
         def put(m: Column, p: Column) -> Column:
+            """The merged token at p (from 0), its left neighbour's new rank, and no right half."""
             new = F.shiftright(m, 16) + HALF
-            tail = _place(t, new, _id(F.get(e, p + 1)))
-            both = F.when(p > 1, F.array(_place(t, _id(F.get(e, p - 2)), new), tail)).otherwise(F.array(tail))
-            return F.concat(F.slice(e, F.lit(1), F.greatest(p - 2, F.lit(0))), both, F.slice(e, p + 2, F.size(e)))
+            here, left = _place(t, new, _id(F.get(e, p + 2))), lambda x: _place(t, _id(x), new)
+            put_in = F.transform(e, lambda x, i: F.when(i == p, here).when(i == p - 1, left(x)).otherwise(x))
+            return F.filter(put_in, lambda x, i: i != p + 1)
 
         def merge(m: Column) -> Column:
-            return F.when(m >= NEVER, e).otherwise(_let(F.array_position(e, m).cast("int"), lambda p: put(m, p)))
+            return F.when(m >= NEVER, e).otherwise(_let(F.array_position(e, m).cast("int") - 1, lambda p: put(m, p)))
 
         return _let(F.array_min(e), merge)
 
