@@ -88,7 +88,8 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every complete vector, by collection."""
     block = similar(spark.read.parquet(f"{d}/block_3sp.parquet"), "state_id", F.array(*[F.col(f"`{c}`") for c in BLOCK_COLUMNS]), 9)
     train = similar(spark.read.parquet(f"{d}/train_states.parquet"), "state_id", F.col("trainStates"), 24)
-    return block.withColumn("collection", F.lit("block_3sp")).unionByName(train.withColumn("collection", F.lit("train_states")))
+    both = block.withColumn("collection", F.lit("block_3sp")).unionByName(train.withColumn("collection", F.lit("train_states")))
+    return both.select("collection", "id", "rank", "other", F.round("distance", 6).alias("distance"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +105,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p7_cleaned": p7_cleaned, "p8_found": p8_found}
 
+_P5 = """
+WITH b AS (SELECT 'block_3sp' AS collection, state_id AS id, min([x_t, "x_t-1", "x_t-2", y_t, "y_t-1", "y_t-2", z_t, "z_t-1", "z_t-2"]) AS v
+  FROM block_3sp WHERE state_id IS NOT NULL AND NOT list_bool_or(list_transform([x_t, "x_t-1", "x_t-2", y_t, "y_t-1", "y_t-2", z_t, "z_t-1", "z_t-2"], lambda e: e IS NULL OR NOT isfinite(e))) GROUP BY state_id),
+t AS (SELECT 'train_states' AS collection, state_id AS id, min(trainStates) AS v FROM train_states
+  WHERE state_id IS NOT NULL AND len(trainStates) = 24 AND NOT list_bool_or(list_transform(trainStates, lambda e: e IS NULL OR NOT isfinite(e))) GROUP BY state_id),
+c AS (SELECT * FROM b UNION ALL SELECT * FROM t),
+p AS (SELECT x.collection, x.id, y.id AS other, list_distance(x.v, y.v) AS d FROM c x JOIN c y ON x.collection = y.collection AND x.id <> y.id),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection, id ORDER BY d, other) AS rank FROM p) WHERE rank <= 5)
+"""
+
 ORACLE = {
     "p2_found": r"""
 WITH RECURSIVE r AS (
@@ -118,6 +129,10 @@ SELECT min(m) AS first_id, i AS input_id FROM c GROUP BY i HAVING min(m) < i""",
     "p2_shares": """
 SELECT s.split, TRUE AS near, TRUE AS whole, n AS records, n AS ids
 FROM (VALUES ('train'), ('validation'), ('test')) s(split), (SELECT count(DISTINCT input_id) AS n FROM prediction_inputs)""",
+    "p5_found": _P5 + """
+SELECT collection, least(id, other) AS first_id, greatest(id, other) AS second_id FROM n
+WHERE d <= CASE collection WHEN 'block_3sp' THEN 0.02 ELSE 0.6 END GROUP BY ALL HAVING count(*) = 2""",
+    "p5_neighbours": _P5 + "SELECT collection, id, CAST(rank AS INTEGER) AS rank, other, round(d, 6) AS distance FROM n",
     "p4_found": """
 WITH held AS (
   SELECT testRuns, testRows, trainRuns, trainRows, arg_max(struct_pack(d := distance), loaded_at).d AS d
