@@ -31,6 +31,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_flags(spark, d).select("field", "record_id")
 
 
+def p1_impossible(spark: SparkSession, d: str) -> DataFrame:
+    """Of the implausible readings those that cannot exist."""
+    return p1_flags(spark, d).where("reason = 'impossible'").select("field", "record_id")
+
+
 def _weeks(spark: SparkSession, d: str, kind: str) -> DataFrame:
     rows = latest_rows(spark.read.parquet(f"{d}/sumflow.parquet"), ["reading_id"], "received_at", ["station_id", "Date", FLOW])
     rows = rows.withColumn("moment", read_moment(F.col("Date")))
@@ -53,7 +58,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _weeks(spark, d, "level").where("status <> 'observed'").select("station_id", "week_start")
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_weekly": p3_weekly, "p3_counter": p3_counter}
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p1_impossible": p1_impossible, "p3_found": p3_found, "p3_weekly": p3_weekly, "p3_counter": p3_counter}
 
 _P3_BASE = """
 WITH held AS (
@@ -102,6 +107,12 @@ SELECT station_id, strftime(DATE '1979-12-31' + CAST(7 * w AS INTEGER), '%Y-%m-%
 
 
 ORACLE = {
+    "p1_impossible": """
+WITH f AS (SELECT reading_id AS i, arg_max(struct_pack(s := station_id, v := "S12.C.D.S333"), received_at) AS h FROM sumflow GROUP BY reading_id),
+y AS (SELECT obs_id AS i, arg_max(struct_pack(s := site_id, t := "year", a := anchovy, b := sio_sst), loaded_at) AS h FROM sardine_anchovy_sst GROUP BY obs_id)
+SELECT 'S12.C.D.S333' AS field, i AS record_id FROM f WHERE i IS NOT NULL AND h.s IS NOT NULL AND NOT isnan(h.v) AND (h.v < 0 OR h.v > 2e6)
+UNION ALL SELECT 'anchovy', i FROM y WHERE i IS NOT NULL AND h.s IS NOT NULL AND h.t IS NOT NULL AND NOT isnan(h.a) AND (h.a < 0 OR h.a > 1e6)
+UNION ALL SELECT 'sio_sst', i FROM y WHERE i IS NOT NULL AND h.s IS NOT NULL AND h.t IS NOT NULL AND NOT isnan(h.b) AND (h.b < -2.5 OR h.b > 42)""",
     "p3_found": _P3_BASE + """
 SELECT s.station_id, strftime(DATE '1979-12-31' + CAST(7 * s.w AS INTEGER), '%Y-%m-%d') AS week_start
 FROM spine s ANTI JOIN weeks k ON s.station_id = k.station_id AND s.w = k.w""",
