@@ -173,7 +173,11 @@ class Block:
         square = (p * p).sum(1)
         room = 1e-5 * (square[:, None] + self.size)
         near = np.sqrt(np.maximum(square[:, None] - 2 * product + self.size - room, 0))
-        i, j = np.nonzero(near - self.err <= limit[:, None] * (1 + 1e-9))
+        open_ = near - self.err <= limit[:, None] * (1 + 1e-9)
+        if open_.mean() > 0.02:  # many left: one matrix product tells most of them apart before they are gathered
+            size = (q * q).sum(1)[:, None] + (self.x * self.x).sum(1)
+            open_ &= size - 2 * (q @ self.x.T) <= limit[:, None] ** 2 + 1e-9 * size
+        i, j = np.nonzero(open_)
         d = np.sqrt(((self.x[j] - q[i]) ** 2).sum(1))
         ok = (self.ids[j] != own[i]) & (d <= limit[i])
         i, j, d = i[ok], j[ok], d[ok]
