@@ -9,9 +9,11 @@ run-length counter of such readings stays within ``max_run``: a change of level
 that lasts is flagged by one chart only. A second counter finds stuck runs, and
 physical limits come first: what cannot exist never reaches the charts.
 
-Sources are cut into blocks of the order key, so a source with a third of all
-rows is spread over many tasks. A block also gets ``pad`` readings' worth of keys
-from either neighbour to warm its charts up; only its own readings are judged.
+Large sources are cut into blocks of their own readings, so a source with a third
+of all rows is spread over many tasks. Readings are counted by stretches of the
+order key first, and blocks are made of whole stretches. A block also gets the
+stretches with the ``pad`` readings before and after it to warm its charts up;
+only its own readings are judged.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasefold.functions.arrow_groups import group_starts, whole_groups
+from phasefold.session import materialize
 
 
 @dataclass(frozen=True)
@@ -142,7 +145,7 @@ def judge(v: np.ndarray, lim: Limits, c: Chart = Chart()) -> np.ndarray:
     return out
 
 
-def flag_readings(df: DataFrame, source: Column, order: Column, record_id: Column, fields: dict[str, tuple[Column, Limits]], chart: Chart = Chart(), block: int = 65536, pad: int = 512) -> DataFrame:
+def flag_readings(df: DataFrame, source: Column, order: Column, record_id: Column, fields: dict[str, tuple[Column, Limits]], chart: Chart = Chart(), block: int = 65536, pad: int = 512, keys: int = 4096) -> DataFrame:
     """(field, record_id, reason) of the implausible readings; reason is 'impossible', 'spike' or 'stuck'.
 
     ``fields`` names each measurement with its value and limits; all are judged
@@ -150,17 +153,25 @@ def flag_readings(df: DataFrame, source: Column, order: Column, record_id: Colum
     or NaN values are missing: they are never flagged and update nothing. Rows
     without source, order key or id are left out, since no normal behaviour can
     be told for them. Ties of the order key go by record_id. ``block`` and
-    ``pad`` are counted in order keys, which should rise by about one from a
-    source's reading to its next. An empty table gives an empty result; other
-    columns of ``df`` are ignored.
+    ``pad`` are counted in a source's readings, stretches are ``keys`` order keys
+    long. An empty table gives an empty result; other columns of ``df`` are
+    ignored.
     """
     values = {f"v{i}": (name, lim) for i, (name, (_, lim)) in enumerate(fields.items())}
     slim = df.select(source.cast("string").alias("source"), order.cast("long").alias("pos"), record_id.cast("long").alias("record_id"), *[v.cast("double").alias(f"v{i}") for i, (v, _) in enumerate(fields.values())])
     there = [f"({v} IS NOT NULL AND NOT isnan({v}))" for v in values]
     slim = slim.where("source IS NOT NULL AND pos IS NOT NULL AND record_id IS NOT NULL").where(" OR ".join(there))
-    own = F.floor(F.col("pos") / block)
-    near = F.array_distinct(F.array(own, F.floor((F.col("pos") - pad) / block), F.floor((F.col("pos") + pad) / block)))
-    spread = slim.withColumn("block", F.explode(near)).withColumn("own", F.col("block") == own)
+    slim = materialize(slim.withColumn("stretch", F.floor(F.col("pos") / keys)))
+    # readings of a large source before each of its stretches: at most one row a stretch
+    order_in = Window.partitionBy("source").orderBy("stretch")
+    counts = slim.groupBy("source", "stretch").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("before", F.sum("n").over(order_in) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("source")))
+    large = counts.where(F.col("all") > block).select("source", "stretch", "n", "before")
+    placed = slim.join(large, ["source", "stretch"], "left")
+    cell = lambda c: F.greatest(F.floor(c / block), F.lit(0))
+    own = F.coalesce(cell(F.col("before")), F.lit(0))
+    near = F.array_distinct(F.array(own, F.coalesce(cell(F.col("before") - pad), own), F.coalesce(cell(F.col("before") + F.col("n") - 1 + pad), own)))
+    spread = placed.withColumn("block", F.explode(near)).withColumn("own", F.col("block") == own).drop("stretch", "n", "before")
     sorted_rows = spread.repartition("source", "block").sortWithinPartitions("source", "block", "pos", "record_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

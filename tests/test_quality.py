@@ -60,8 +60,11 @@ def test_blocks_change_nothing(spark):
     v = course(3000, 3)
     v[[100, 999, 1000, 1500, 2047, 2048]] *= 30
     rows = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(v)], "s string, i long, v double")
-    one, many = ({r["record_id"] for r in flag_readings(rows, F.col("s"), F.col("i"), F.col("i"), {"v": (F.col("v"), FLOW)}, block=b, pad=200).collect()} for b in (1 << 20, 1024))
+    flags = lambda b, order, k: {r["record_id"] for r in flag_readings(rows, F.col("s"), order, F.col("i"), {"v": (F.col("v"), FLOW)}, block=b, pad=200, keys=k).collect()}
+    one, many = flags(1 << 20, F.col("i"), 4096), flags(1024, F.col("i"), 64)
     assert one == many >= {100, 1500}
+    # ids shared out over many sources: a source's keys are far apart
+    assert flags(1024, F.col("i") * 997 + 5, 5000) == one
 
 
 def test_flags_with_nulls_empty_and_clashing_columns(spark):
