@@ -51,7 +51,7 @@ def simplex(train: DataFrame, x: list[str], y: list[str], test: DataFrame | None
         raise ValueError("no complete training or test state")
     if k > n - most:
         raise ValueError(f"k={k} but only {n - most} neighbours are available")
-    made = project(neighbors(lib, qry, k, in_sample, radius, sizes=(n, m)), y)
+    made = project(neighbors(lib, qry, k, in_sample, radius, sizes=(n, m), dimensions=len(x) * dimensions), y)
     spine = base.select("run_id", "pos", F.explode(F.array(*[F.lit(t) for t in y])).alias("target"))
     return spine.join(made, ["run_id", "pos", "target"], "left")
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasefold.functions.scoring import finite
@@ -135,6 +135,11 @@ class Problem:
         return idx, np.take_along_axis(d, idx, 1)
 
 
+def query_groups(spark: SparkSession, m: int) -> int:
+    """Groups into which m test states are spread; each is shown the library."""
+    return int(max(1, min(m // LEAST_QUERIES, max(spark.sparkContext.defaultParallelism, -(-m // MOST_QUERIES)))))
+
+
 def over_blocks(lib: DataFrame, qry: DataFrame, work: Callable[[Problem], Iterator[tuple]], schema: str, in_sample: bool, radius: int = 0, sizes: tuple[int, int] | None = None, library_blocks: int = 1) -> DataFrame:
     """Rows of the column tuples that ``work`` yields for each block of queries; NaN becomes null.
 
@@ -152,7 +157,7 @@ def over_blocks(lib: DataFrame, qry: DataFrame, work: Callable[[Problem], Iterat
     if n == 0 or m == 0:
         raise ValueError("no complete training or test state")
     spark = lib.sparkSession
-    groups = int(max(1, min(m // LEAST_QUERIES, max(spark.sparkContext.defaultParallelism, -(-m // MOST_QUERIES)))))
+    groups = query_groups(spark, m)
     own = F.pmod(F.xxhash64("run_id", "pos"), F.lit(library_blocks)).cast("int")
     shown = lib.select(F.explode(F.sequence(own, own + (groups - 1) * library_blocks, F.lit(library_blocks))).alias("g"), F.lit(0).alias("role"), "run_id", "pos", "state", "y")
     group = F.pmod(F.xxhash64("pos", "run_id"), F.lit(groups)).cast("int") * library_blocks

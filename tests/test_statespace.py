@@ -11,7 +11,7 @@ from phasefold.estimators import CrossMap, CrossMapFolds, Multiview, Selection,
 from phasefold.functions import scoring
 from phasefold.operators import crossmap, crossval, generate, multiview, neighbors, selection, simplex, smap, surrogates, sweeps
 from phasefold.operators.embedding import library, query
-from phasefold.plans import blocks
+from phasefold.plans import blocks, cells
 from phasefold.sources.results import load, pack, save
 from phasefold.sources.tables import read_series
 from phasefold.streaming.forecast import forecast_each, windowed
@@ -82,6 +82,45 @@ def test_neighbors_in_blocks_equal_broadcast(spark):
     assert one == many == blocks
 
 
+def test_neighbors_in_cells_equal_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_ROWS", 30)
+    monkeypatch.setattr(cells, "LEAST_LANDMARKS", 150)
+    monkeypatch.setattr(cells, "LEAF", 8)
+    monkeypatch.setattr(blocks, "MOST_QUERIES", 10)  # so cells are laid out several times
+    monkeypatch.setattr(neighbors, "fan_out", lambda to: 1.0)  # blocks shuffle less here
+    runs = [np.round(chaos(200, i), 3 - i) for i in range(3)]  # distinct states, many exact ties and one state of many rows
+    runs[1][20:70] = 0.5
+    s = frame(spark, runs)
+    for dimensions, inside, radius in ((2, True, 2), (1, True, 0), (2, False, 0)):
+        lib, qry = library(s, ["a"], ["c"], dimensions), query(s if inside else frame(spark, [chaos(200, 7)]), ["a"], dimensions)
+        to = neighbors._cells(lib, 4, inside, radius, lib.count(), qry.count(), dimensions)
+        assert to is not None and to.depth >= 3
+        one, parts = (sorted(map(tuple, neighbors.neighbors(lib, qry, 4, inside, radius, *b).select("run_id", "pos", "out_pos", "rank", "l_run", "l_pos", "d", "y").collect())) for b in ((10**6,), (10, 1000, None, dimensions)))
+        assert one == parts and len(one) == 4 * qry.count()
+    lib, qry = library(s, ["a"], ["c"], 2), query(s, ["a"], 2)
+    flat = library(frame(spark, [np.full((300, 3), 0.5)]), ["a"], ["c"], 2)
+    assert neighbors._cells(flat, 4, True, 0, 298, 298, 2) is None  # one state in all rows: blocks spread it
+    few = neighbors.neighbors(lib.where("run_id = 0 AND pos < 5"), qry, 4, True, 1, 10, 1000, None, 2)  # fewer candidates than k
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, neighbors.neighbors(lib.where("run_id = 0 AND pos < 5"), qry, 4, True, 1).collect()))
+
+
+def test_simplex_of_many_states_shows_no_task_the_whole_library(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "MOST_NUMBERS", 15_000)  # half of the library's numbers
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(250, 42))
+    run, pos = np.divmod(np.arange(v.size), 42)
+    s = spark.createDataFrame(pd.DataFrame({"run_id": run, "pos": pos, "a": v.ravel()}))
+    got = simplex.simplex(s, ["a"], ["a"], dimensions=2).toPandas().set_index(["run_id", "pos"]).pred
+    assert len(got) == v.size and got.isna().sum() == 500
+    S, y = np.column_stack([v[:, 1:-1].ravel(), v[:, :-2].ravel()]), v[:, 2:].ravel()
+    for i in rng.choice(len(S), 200, False):
+        d = np.hypot(*(S - S[i]).T)
+        d[i] = np.inf
+        at = np.argsort(d)[:3]
+        w = np.exp(-d[at] / d[at].min())
+        assert abs(got[i // 40, i % 40 + 2] - (w * y[at]).sum() / w.sum()) < 1e-9
+
+
 def test_smap_theta_0_is_least_squares(spark):
     x = chaos(80)
     got = smap.smap(frame(spark, [x[:60]]), ["a"], ["b"], frame(spark, [x[60:]]), dimensions=2).toPandas()
